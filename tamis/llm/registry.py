@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and their SQL."""
 
-from . import mixing, urlfilter
+from . import bpe, mixing, urlfilter
 
-MODULES = (mixing, urlfilter)
+MODULES = (mixing, bpe, urlfilter)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
