@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and their SQL."""
 
-from . import bpe, media, mixing, urlfilter
+from . import bpe, htmltext, media, mixing, urlfilter
 
-MODULES = (mixing, media, bpe, urlfilter)
+MODULES = (mixing, htmltext, media, bpe, urlfilter)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
