@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and their SQL."""
 
-from . import bpe, htmltext, langid, media, mixing, urlfilter
+from . import bpe, htmltext, langid, media, mixing, quality, urlfilter
 
-MODULES = (mixing, htmltext, media, langid, bpe, urlfilter)
+MODULES = (mixing, htmltext, media, quality, langid, bpe, urlfilter)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
