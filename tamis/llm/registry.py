@@ -1,7 +1,7 @@
 """Queries of this subpackage by name, and their SQL."""
 
-from . import bpe, fingerprint, htmltext, langid, lm, media, mixing, quality, urlfilter
+from . import bpe, fingerprint, htmltext, jaccard, langid, lm, media, mixing, quality, urlfilter
 
-MODULES = (mixing, htmltext, media, quality, langid, bpe, urlfilter, lm, fingerprint)
+MODULES = (mixing, htmltext, media, quality, langid, bpe, urlfilter, lm, jaccard, fingerprint)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
