@@ -149,18 +149,24 @@ class ByteBpe:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of their decimal text, SHA-256 of what they decode to."""
+    def pieces(self, text: str):
+        """Ids of the text, in lists of the ids of many pre-tokens."""
         if len(text) <= PIECE:
-            ids = self.encode(text)
-            return len(ids), hashlib.sha256(",".join(map(self.text.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+            yield self.encode(text)
+            return
+        found = (m[0] for m in self.pattern.finditer(text))
+        while part := list(islice(found, 50_000)):
+            yield list(chain.from_iterable(map(self.memo.__getitem__, part)))
+
+    def digest(self, text: str, keep: list[np.ndarray] | None = None) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of their decimal text, SHA-256 of what they decode to. The ids themselves go to keep."""
         n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-        pieces = (m[0] for m in self.pattern.finditer(text))
-        while part := list(islice(pieces, 50_000)):
-            ids = list(chain.from_iterable(map(self.memo.__getitem__, part)))
-            a.update((("," if n else "") + ",".join(map(self.text.__getitem__, ids))).encode())
+        for ids in self.pieces(text):
+            a.update((("," if n and ids else "") + ",".join(map(self.text.__getitem__, ids))).encode())
             b.update(self.decode(ids))
             n += len(ids)
+            if keep is not None:
+                keep.append(np.array(ids, np.int32))
         return n, a.hexdigest(), b.hexdigest()
 
 
@@ -177,19 +183,19 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str |
     """(key, n_tokens, ids_sha256, decoded_sha256) and, with keep_ids, ids array<int>. path: a rank file that every machine has."""
     path = path or public_tokenizers.path(VOCABULARY)
     narrow = docs.select(key, text)
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
         bpe = _bpe(path)
         for batch in batches:
-            got, ids = [], []
+            got, ids, ends = [], [], [0]
             for s in batch.column(1):
-                t = s.as_py() or ""
-                got.append(bpe.digest(t))
-                if keep_ids:
-                    ids.append(bpe.encode(t))
+                got.append(bpe.digest(s.as_py() or "", ids if keep_ids else None))
+                ends.append(ends[-1] + got[-1][0])
             n, a, b = zip(*got, strict=True) if got else ((), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())] + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if keep_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
     return narrow.mapInArrow(run, schema)

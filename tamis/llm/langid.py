@@ -111,6 +111,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 def identify(docs: DataFrame, model: Mixture, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep..., lang_pred, score."""
+    at = keep.index(text) if text in keep else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.p.astype(np.float32)))  # 32 KB a language
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
 
@@ -119,10 +120,10 @@ def identify(docs: DataFrame, model: Mixture, text: str = "text", keep: tuple[st
         own = Mixture(names, np.ones((len(names), 1 << BITS)))
         own.p = p.astype(np.float64)
         for batch in batches:
-            got = [own.predict(s.as_py()) for s in batch.column(len(keep))]
+            got = [own.predict(s.as_py()) for s in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, *[text][at < len(keep) :]).mapInArrow(run, schema)
 
 
 def op5_language_id(spark, sf_dir):

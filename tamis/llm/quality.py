@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def score(docs: DataFrame, model: Attention | float, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep..., score."""
+    at = keep.index(text) if text in keep else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 30 KB
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
 
@@ -172,12 +173,12 @@ def score(docs: DataFrame, model: Attention | float, text: str = "text", keep: t
             if isinstance(own, float):
                 out[:] = own
             else:
-                for i, buf, offsets in slabs(batch.column(len(keep)), 1 << 20):
+                for i, buf, offsets in slabs(batch.column(at), 1 << 20):
                     x, owner = encode(buf, offsets)
                     out[i : i + len(offsets) - 1] = own.forward(x, owner, len(offsets) - 1)[0]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out)], names=[*keep, "score"])
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, *[text][at < len(keep) :]).mapInArrow(run, schema)
 
 
 def op4_quality_classifier(spark, sf_dir):
