@@ -454,8 +454,8 @@ def put_gray(w: Writer, data: bytes, main: bool = True) -> None:
     w.put(0, 1)  # no colour cache
     if main:
         w.put(0, 1)  # one group of codes
-    found = matches(data)
     samples = np.frombuffer(data, np.uint8)
+    found = matches(data) if np.count_nonzero(np.bincount(samples, minlength=256)) <= 232 else []  # room for 24 lengths
     pieces: list[tuple[int, int]] = []
     links: list[tuple[int, int]] = []  # (length, distance) after each piece
     at = 0
