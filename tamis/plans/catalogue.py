@@ -1,4 +1,7 @@
 """All queries of the screening operators by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import content
+
+MODULES = (content,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
