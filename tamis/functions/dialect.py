@@ -24,10 +24,10 @@ def _outside(pattern: str, change) -> str:
     return "".join(out)
 
 
-def java(pattern: str, flags: str = "") -> str:
+def java(pattern: str, flags: str = "", exact: bool = False) -> str:
     """A boundary beside a word character needs to look to its other side only, which is several times faster.
 
-    A group beside a boundary is taken to begin and end with word characters, as in all rules here.
+    A group beside a boundary is taken to begin and end with word characters, as in most rules; exact is for others.
     """
 
     def change(part: str, inside: bool) -> str:
@@ -36,6 +36,8 @@ def java(pattern: str, flags: str = "") -> str:
         return r"\z" if part == "$" and not inside else part
 
     def boundary(m: re.Match) -> str:
+        if exact:
+            return (m[1] or "") + _BOUNDARY
         if re.match(r"\w|\(", m[2] or "") and not re.match(r"[\w)\]}]", m[1] or ""):
             return (m[1] or "") + _BEFORE
         if re.match(r"[\w)]", m[1] or ""):

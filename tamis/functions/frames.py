@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TABLES = "region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations"
+_NAMED = re.compile(rf"\{{({TABLES})\}}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query in SQL that both engines read, with {table} for the tables of sf_dir."""
-    return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+    return spark.sql(_NAMED.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
 def plain(sql: str) -> str:
     """The same query for views with the tables' names."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return _NAMED.sub(r"\1", sql)
 
 
 def small(df: DataFrame, limit: int = 50_000) -> DataFrame:

@@ -1,7 +1,7 @@
 """All queries of the screening operators by name, and their SQL."""
 
-from . import content
+from . import code, content, secrets
 
-MODULES = (content,)
+MODULES = (content, secrets, code)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
