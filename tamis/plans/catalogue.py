@@ -1,7 +1,7 @@
 """All queries of the screening operators by name, and their SQL."""
 
-from . import code, content, secrets
+from . import code, content, secrets, urls
 
-MODULES = (content, secrets, code)
+MODULES = (content, secrets, code, urls)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -26,7 +26,7 @@ _case = lambda i, xs: f"CASE doc_id % {len(xs)} " + " ".join(f"WHEN {k} THEN {te
 
 def text(s: str) -> str:
     """A literal that both engines read: line ends and backslashes apart."""
-    for c, code_point in (("\r", 13), ("\n", 10), ("\\", 92), ("'", 39)):
+    for c, code_point in (("\r", 13), ("\n", 10), ("\\", 92), ("$", 36), ("'", 39)):
         s = s.replace(c, f"\x00{code_point}\x00")
     parts = [f"chr({p})" if k % 2 else f"'{p}'" for k, p in enumerate(s.split("\x00"))]
     return " || ".join(p for p in parts if p != "''") or "''"
@@ -82,7 +82,7 @@ def _rules() -> str:
     """Rules in SQL; the three patterns that look ahead are split in what must and what must not match."""
     split = {
         "py-yaml-load": (r"\byaml\.load\s*\(", r"\byaml\.load\s*\([^)]*(Safe|safe_)"),
-        "js-innerhtml": (r"\.(innerHTML|outerHTML)\s*=", r"\.(innerHTML|outerHTML)\s*=\s*['\"`]\s*['\"`]\s*;?\s*$"),
+        "js-innerhtml": (r"\.(innerHTML|outerHTML)\s*=", r"\.(innerHTML|outerHTML)\s*=['\"`]\s*['\"`]\s*;?\s*$"),
         "ssrf-py": (r"\b(requests\.\w+|urlopen|httpx\.\w+)\s*\(\s*[a-zA-Z_]", None),
     }
     rows = []
