@@ -12,6 +12,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import verdicts
 from ..functions.frames import small
@@ -114,7 +115,7 @@ def is_private(ip: Column) -> Column:
     return F.when(n.isNull(), True).otherwise(inside)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_private_any(ips: pd.Series) -> pd.Series:
     """IPv4 and IPv6, with mapped and translated addresses judged by the IPv4 address within."""
     nets = [ipaddress.ip_network(c) for c in PRIVATE]
