@@ -4,8 +4,8 @@ A text's paragraphs are its pieces up to a line's end or a sentence mark; each h
 has three tables of `per` cells; a digest is counted in one cell of each, with the XOR of digests and of their
 checks. Two sketches of one size are subtracted cell by cell; a cell that holds exactly one digest gives it
 away, it is taken out of its other cells, and so on (peeling) until no cell is left: then the digests in which
-the texts differ are known. Where peeling gets stuck, both are sketched anew with larger tables: for 1.5, 3
-and 6 times as many cells as both have digests. Should all fail, the sets are compared directly.
+the texts differ are known. Where peeling gets stuck, both are sketched anew with larger tables: for 3, 6
+and 12 times as many cells as both have digests. Should all fail, the sets are compared directly.
 
 likeness = 1 - differing / (digests of one + digests of the other); two texts without paragraphs: 1.
 
@@ -78,9 +78,9 @@ def peel(cells: str, per: str, tag: str) -> str:
 def differing(a: str, b: str, base_a: str, base_b: str, tag: str) -> str:
     """Number of digests in one set only: from the published sketches, else from larger ones."""
     tries = [peel(subtract(base_a, base_b, f"{tag}s0"), str(PER), f"{tag}p0")]
-    for k, times in enumerate((0.5, 1, 2), 1):
+    for k, times in enumerate((1, 2, 4), 1):
         per = f"per_{tag}{k}"
-        larger = subtract(sketch(a, per, f"{tag}a{k}"), sketch(b, per, f"{tag}b{k}"), f"{tag}s{k}")
+        larger = combine(f"concat({entries(a, per, 'd', '1')}, {entries(b, per, 'd', '-1')})", f"{tag}s{k}")  # one sketch less the other
         tries.append(let(per, f"cast(ceil((size({a}) + size({b})) * {times}) + {PER} as bigint)", peel(larger, per, f"{tag}p{k}")))
     return f"coalesce({', '.join(tries)}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
 
