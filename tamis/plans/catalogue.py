@@ -1,7 +1,7 @@
 """All queries of the screening operators by name, and their SQL."""
 
-from . import code, content, email, packages, secrets, urls
+from . import code, content, email, ledger, packages, payments, secrets, urls
 
-MODULES = (content, secrets, code, urls, email, packages)
+MODULES = (content, secrets, code, urls, email, packages, payments, ledger)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
