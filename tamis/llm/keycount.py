@@ -25,6 +25,7 @@ from .textkernel import slabs
 
 BITS = 48
 GROUP_BYTES, RANGE_BYTES = 6_000_000, 12_000_000
+LEAST_PARTS = 64  #: groups of small inputs, at most
 CHUNK_KEYS, CHUNK_DOCS = 3_000_000, 60_000
 REQUEST = "p int, groups binary, sizes binary, heads binary, width int, steps binary, counts binary"
 ANSWER = "g long, kind int, p int, n long, total long, counts binary, held binary"
@@ -35,10 +36,14 @@ Extractor = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray
 
 
 def layout(docs: DataFrame, text: str) -> tuple[int, int]:
-    """(buckets of documents, bits of key ranges), by the bytes of text and the session's shuffle partitions."""
+    """(buckets of documents, bits of key ranges), by the bytes of text.
+
+    A range answers each group in one row, so rows grow with the product of both.
+    """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(parts, size // GROUP_BYTES + 1), max(3, min(20, int(max(parts, size // RANGE_BYTES + 1) - 1).bit_length()))
+    parts = min(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    times = min(3.0, max(1.0, (size / 1e9) ** 0.5))  # larger groups and ranges where there would be very many answers
+    return max(parts, int(size / (GROUP_BYTES * times)) + 1), max(3, min(20, max(parts // 2, int(size / (RANGE_BYTES * times)) + 1).bit_length()))
 
 
 def group_of(key: str, text: str, buckets: int, kind: Column | int) -> Column:

@@ -6,7 +6,7 @@ maximisation on held-out counts: a tenth of the training documents is held out,
 with the counts of the others. Scores then use the counts of all training documents.
 
 Counts come from every training document through keycount; the driver sees a histogram of held-out events
-(bucket, estimates rounded to sixteenths of an octave), whose size is bounded by the resolution.
+(bucket, estimates rounded to quarters of an octave), whose size is bounded by the resolution.
 
 Tokens are words in lower case (A-Z only) and one end; the context of the first token is the end. Null and
 empty texts have the end alone. Without training documents the base is that of an empty count. Repeated rows
@@ -26,7 +26,7 @@ from .textkernel import M1, M2, mix, slabs, word_hashes
 
 END = np.uint64(0xD6E8FEB86659FD93)
 CUT = np.uint64(16)
-STEP = 16.0  #: parts of an octave in the histogram
+STEP = 4.0  #: parts of an octave in the histogram
 ADD = 0.1
 
 
