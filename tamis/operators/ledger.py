@@ -58,7 +58,7 @@ def cache_evict(cache: DataFrame, most: int) -> DataFrame:
 
 
 def age_days(at: Column, as_of: str) -> Column:
-    return F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(at)) / 86_400_000_000)
+    return F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000)
 
 
 def corpus_report(cases: DataFrame) -> DataFrame:

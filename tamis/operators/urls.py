@@ -68,7 +68,7 @@ def with_age(df: DataFrame, rdap: DataFrame | None, as_of: str) -> DataFrame:
     """df with domain_age_days: whole 24 hours from rdap(domain, registered_at) to as_of; null without the table or a row."""
     if rdap is None:
         return df.withColumn("domain_age_days", F.lit(None).cast("long"))
-    age = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("registered_at")) / 86_400_000_000)
+    age = F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("registered_at").cast("timestamp"))) / 86_400_000_000)
     rdap = rdap.select(F.col("domain").alias("_domain"), age.alias("domain_age_days"))
     return df.withColumn("_site", F.substring_index("host", ".", -2)).join(small(rdap), F.col("_site") == F.col("_domain"), "left").drop("_domain", "_site")
 
