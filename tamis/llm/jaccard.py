@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     info = sets.select("id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("node", F.coalesce("root", "sid"))
     info = stage(info.select("id", "n", "node"), "jaccard-nodes")
     least = info.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("m")).where("m > 1").select("node", "least")
+    least = stage(least, "jaccard-least")  # so that the join's stage has no aggregate and a hot group can be split
     out = info.join(least, "node", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
