@@ -227,7 +227,8 @@ def feed_items(df: DataFrame, xml: str, key: str, limit: int = 25) -> DataFrame:
 def dns_pivot(dns: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row a domain: records of each type, SPF and DMARC records, and types whose lookup failed."""
     types = ["A", "AAAA", "CNAME", "MX", "NS", "TXT"]
-    wide = dns.groupBy("domain").pivot("type", types).agg(F.nullif(F.array_join(F.sort_array(F.collect_list("value")), " "), F.lit("")))
+    wide = dns.groupBy("domain").pivot("type", types).agg(F.array_join(F.sort_array(F.collect_list("value")), " "))
+    wide = wide.select("domain", *(F.nullif(t, F.lit("")).alias(t) for t in types))
     first = lambda p: F.min(F.when((F.col("type") == "TXT") & F.lower("value").startswith(p), F.col("value")))
     mail = dns.groupBy("domain").agg(first("v=spf1").alias("spf"), first("v=dmarc1").alias("dmarc"))
     out = wide.join(mail, "domain")
