@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keycount as kc
-from .common import stage, table
+from .common import small, stage, table
 from .components import components
 from .sigtree import Forest, links
 from .textkernel import M1, M2, M3, mix, slabs, word_hashes
@@ -130,7 +130,8 @@ def verified_links(sets: DataFrame, percent: int) -> DataFrame:
     # a set meets those of its own tile and of all others, each pair of tiles in one place
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     placed = placed.select("sid", "root", "tile", other.alias("other")).select("sid", "root", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    members = sets.where(F.col("members").isNotNull()).select("sid", "members").dropDuplicates(["sid"])
+    clustered = small(clusters.select("sid"), 500_000)  # copies of one set alone are in no cluster and stay where they are
+    members = sets.where(F.col("members").isNotNull()).select("sid", "members").join(clustered, "sid", "left_semi").dropDuplicates(["sid"])
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # clusters are small and many: some hundred together in a task's group, tiles of large ones alone
     place = F.when(F.col("tiled"), F.xxhash64("root", "low", "high")).otherwise(F.pmod(F.xxhash64("root"), F.lit(8 * parts)))
