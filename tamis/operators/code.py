@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import java
+from . import secrets
 
 # Rule id, category, severity, language, pattern, flags.
 RULES = [
@@ -79,6 +80,14 @@ def match_lines(at: DataFrame, *keys: str) -> DataFrame:
     return hit.select(*keys, "line", "rule_id", "category", "severity", F.substring(F.trim("text"), 1, 160).alias("code"))
 
 
+def with_secrets(df: DataFrame, source: str, key: str) -> DataFrame:
+    """match_lines() of df(key, lang, source), and a hardcoded-<id> finding for each line and kind of secret in it."""
+    at = lines(df, source, key, "lang")
+    kinds = F.array(*(F.when(secrets.count(F.col("text"), r) > 0, F.struct(F.lit(f"hardcoded-{r.id}").alias("rule_id"), F.lit("hardcoded-secret").alias("category"), F.lit(r.severity).alias("severity"))) for r in secrets.RULES))
+    own = at.select(key, "line", "text", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    return match_lines(at, key).union(own.select(key, "line", "k.rule_id", "k.category", "k.severity", F.substring(F.trim(secrets.redact(F.col("text"))), 1, 160)))
+
+
 def summarize(found: DataFrame, all_keys: DataFrame, *keys: str) -> DataFrame:
     """Counts by severity and a verdict for each key, also for those without findings."""
     n = found.groupBy(*keys).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY), F.count("*").alias("total"))

@@ -173,6 +173,29 @@ def verify(df: DataFrame, registry: DataFrame, osv: DataFrame | None) -> DataFra
     return df.withColumn("verdict", v)
 
 
+def vulnerabilities(df: DataFrame, osv: DataFrame | None) -> DataFrame:
+    """df(ecosystem, name) with count, malicious and ids (five at most); all null where there is no osv table."""
+    if osv is None:
+        return df.withColumns({"count": F.lit(None).cast("long"), "malicious": F.lit(None).cast("boolean"), "ids": F.lit(None).cast("array<string>")})
+    bad = F.col("_osv").startswith("MAL-") | F.upper("_osv").contains("MALWARE")
+    v = osv.withColumnRenamed("id", "_osv").groupBy("ecosystem", "name").agg(F.count("*").alias("count"), F.max(bad).alias("malicious"), F.slice(F.sort_array(F.collect_set("_osv")), 1, 5).alias("ids"))
+    out = df.join(v, ["ecosystem", "name"], "left")
+    return out.withColumns({"count": F.coalesce("count", F.lit(0).cast("long")), "malicious": F.coalesce("malicious", F.lit(False)), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
+
+
+def info(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """df(ecosystem, name) with the registry's facts; exists is null where it was not asked."""
+    return df.join(registry, ["ecosystem", "name"], "left")
+
+
+def audit(df: DataFrame, registry: DataFrame, osv: DataFrame | None, most: int | None = 40, key: str = "project") -> DataFrame:
+    """verify() for the first `most` dependencies of each project(key, position); None takes all."""
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(key).orderBy("position"))
+        df = df.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+    return verify(df, registry, osv)
+
+
 def summary(report: DataFrame) -> DataFrame:
     """Counts of an audit's verdicts and reasons."""
     n = lambda cond, name: F.count_if(cond).alias(name)

@@ -170,6 +170,19 @@ def pwned(df: DataFrame, password: str, ranges_: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.when(F.col("count") > 1000, "severely-compromised").when(F.col("count") > 0, "compromised").otherwise("safe"))
 
 
+def reversed_ip(ip: Column) -> Column:
+    """1.2.3.4 as 4.3.2.1, the form of block list lookups."""
+    return F.array_join(F.reverse(F.split(ip, r"\.")), ".")
+
+
+def host_argument(given: Column) -> Column:
+    """The host of a URL, host:port or bare host; null for private addresses and what is no host."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace(F.trim(given), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?", ""), r"[:/?#].*\z", ""))
+    number_like = F.rlike(bare, F.lit(IPV4))
+    ok = F.rlike(bare, F.lit(r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+\z")) & (bare != "localhost")
+    return F.when(ok & ~(number_like & is_private(bare)), bare)
+
+
 def links(html: Column, most: int = 25) -> Column:
     """http(s) links: href values, then bare ones, each once."""
     href = F.regexp_extract_all(html, F.lit(r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))

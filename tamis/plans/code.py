@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import quoted, re2
 from ..functions.frames import plain, run
-from ..operators import code
+from ..functions import verdicts
+from ..operators import code, content
 
 SNIPPETS = [
     ("js", "const x = eval(input);\nexec(`ls ${dir}`)\nel.innerHTML = value;\nel.innerHTML = '' ;"),
@@ -63,6 +64,20 @@ def code_summary(spark, sf):
     return code.summarize(_found(spark, sf), run(spark, sf, CODE).select("doc_id"), "doc_id")
 
 
+def code_secrets(spark, sf):
+    """Findings with hard-coded secrets; their values are taken out of the line shown."""
+    df = run(spark, sf, CODE).withColumn("code", F.when(F.col("doc_id") % 3 == 0, F.concat("code", F.lit("\npassword = 'abcd1234xy'"))).otherwise(F.col("code"))).withColumn("lang", F.lit("js")).withColumnRenamed("code", "source")
+    return code.with_secrets(df, "source", "doc_id").where("category = 'hardcoded-secret'").select("doc_id", "line", "rule_id", "code")
+
+
+def file_verdict(spark, sf):
+    """The command line's verdict of a file: the worst of its code's and its text's."""
+    summary = code_summary(spark, sf).withColumnRenamed("verdict", "code_verdict").select("doc_id", "code_verdict")
+    scanned = content.scan(run(spark, sf, CODE), "code").select("doc_id", F.col("verdict").alias("text_verdict"))
+    own = F.when(F.col("code_verdict") == "pass", "ok").otherwise(F.col("code_verdict"))
+    return summary.join(scanned, "doc_id").select("doc_id", verdicts.worst(own, F.col("text_verdict")).alias("verdict"))
+
+
 def rule_catalog(spark, sf):
     r = code.rules(spark)
     out = r.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("rule_id")), ",").alias("rules"))
@@ -103,13 +118,18 @@ w AS (SELECT *, CASE WHEN {_h} = '' THEN NULL ELSE {_h}::INT END AS start, start
 y AS (SELECT *, count(start) OVER (PARTITION BY doc_id ORDER BY pos) AS hunk FROM w),
 z AS (SELECT *, max(start) OVER (PARTITION BY doc_id, hunk) AS first, sum(CASE WHEN start IS NOT NULL OR header OR starts_with(x, '-') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, hunk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS steps FROM y),
 l AS (SELECT doc_id, 'unknown' AS lang, (coalesce(first, 0) + coalesce(steps, 0))::INT AS line, substr(x, 2) AS text FROM z WHERE starts_with(x, '+') AND NOT header)"""
-QUERIES = {f.__name__: f for f in (code_lang, code_findings, code_summary, rule_catalog, diff_added_lines, diff_findings)}
+_scores = " + ".join(f"CASE WHEN regexp_matches(code, {quoted(re2(p, 'i'))}) THEN {w} ELSE 0 END" for _, _, w, p in content.RULES)
+QUERIES = {f.__name__: f for f in (code_lang, code_findings, code_summary, code_secrets, file_verdict, rule_catalog, diff_added_lines, diff_findings)}
 SQL = {
     "code_lang": f"SELECT doc_id, {_lang} AS lang FROM ({_string(CODE)})",
     "code_findings": f"WITH {_lines} {_hits}",
     "code_summary": f"""WITH {_lines}, f AS ({_hits}), n AS (SELECT doc_id, count(rule_id) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
   count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM g LEFT JOIN f USING (doc_id) GROUP BY doc_id)
 SELECT *, CASE WHEN critical + high > 0 THEN 'block' WHEN total > 0 THEN 'review' ELSE 'pass' END AS verdict FROM n""",
+    "code_secrets": f"SELECT doc_id, len(string_split(code, chr(10)))::INT + 1 AS line, 'hardcoded-generic' AS rule_id, 'password = ' || chr(39) || '[REDACTED:Generic Secret Assignment]' || chr(39) AS code FROM ({_string(CODE)}) WHERE doc_id % 3 = 0",
+    "file_verdict": f"""WITH {_lines}, f AS ({_hits}), n AS (SELECT doc_id, count(*) FILTER (severity IN ('critical', 'high')) AS hard, count(rule_id) AS total FROM g LEFT JOIN f USING (doc_id) GROUP BY doc_id),
+i AS (SELECT doc_id, least(100, {_scores}) AS score FROM c)
+SELECT doc_id, CASE WHEN hard > 0 OR score >= 35 THEN 'block' WHEN total > 0 OR score >= 15 THEN 'review' ELSE 'ok' END AS verdict FROM n JOIN i USING (doc_id)""",
     "rule_catalog": f"WITH {_rules()} SELECT category, count(*) AS n, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM r GROUP BY category UNION ALL SELECT 'hardcoded-secret', 1, 'hardcoded-*'",
     "diff_added_lines": f"WITH {_diff} SELECT doc_id, line, text FROM l",
     "diff_findings": f"WITH {_diff}, {_rules()} {_hits}",

@@ -114,6 +114,14 @@ def verify_package(spark, sf):
     return _report(spark, sf).select("id", "exists", "vulns", "malicious", "verdict")
 
 
+def check_vulns(spark, sf):
+    return pk.vulnerabilities(_names(spark, sf), run(spark, sf, OSV)).select("id", "count", "malicious")
+
+
+def package_info(spark, sf):
+    return pk.info(_names(spark, sf), run(spark, sf, REGISTRY)).select("id", "exists", "age_days", "weekly_downloads")
+
+
 def slopsquat(spark, sf):
     return _report(spark, sf).groupBy("slopsquat").agg(F.count("*").alias("n"))
 
@@ -184,7 +192,7 @@ v AS (SELECT name, b, list_concat(list_transform(range(1, length(b) + 1), lambda
 w AS (SELECT name, list_filter(xs, lambda x, i: x <> b AND length(x) >= 2 AND list_position(xs, x) = i AND regexp_matches(x, '^[A-Za-z0-9._-]+$'))[1:30] AS xs FROM v),
 t AS (SELECT name, unnest(range(len(xs)))::INT AS pos, unnest(xs) AS variant FROM w)"""
 _tok = f"({_s(TOKENS)})"
-QUERIES = {f.__name__: f for f in (pep503, ecosystem_alias, pkg_gate, pkg_nonascii, pkg_collapse_join, pkg_affix, pkg_near, pkg_confusable, pkg_verdict, pkg_verdict_no_list, typosquat_variants, typosquat_registered, did_you_mean, malicious_check, verify_package, slopsquat, audit_deps_report, audit_deps_summary, clean_version, requirements_parse, npm_spec, pip_spec, not_package_reason)}
+QUERIES = {f.__name__: f for f in (pep503, ecosystem_alias, pkg_gate, pkg_nonascii, pkg_collapse_join, pkg_affix, pkg_near, pkg_confusable, pkg_verdict, pkg_verdict_no_list, typosquat_variants, typosquat_registered, did_you_mean, malicious_check, verify_package, check_vulns, package_info, slopsquat, audit_deps_report, audit_deps_summary, clean_version, requirements_parse, npm_spec, pip_spec, not_package_reason)}
 SQL = {
     "pep503": f"SELECT id, {_canon} AS canon, {_collapse('name')} AS collapsed, length(name) BETWEEN 1 AND 214 AND regexp_matches(name, '^[@a-zA-Z0-9._/-]+$') AS valid FROM ({_s(NAMES)})",
     "ecosystem_alias": "SELECT * FROM (VALUES ('NPM', 'npm'), ('pip', 'pypi'), ('cargo', 'crates'), ('gem', 'rubygems'), ('golang', 'go'), ('nuget', 'nuget'), ('perl', NULL), ('-', 'npm')) AS t(given, ecosystem)",
@@ -205,6 +213,8 @@ SELECT id, CASE WHEN na OR t OR (own AND look) OR cached = 'danger' THEN 'danger
     "did_you_mean": f"WITH {_with} SELECT id, rank::INT AS rank, suggestion, distance::INT AS distance FROM (SELECT n.id, p.name AS suggestion, levenshtein(n.name, p.name) AS distance, row_number() OVER (PARTITION BY n.id ORDER BY levenshtein(n.name, p.name), p.name) AS rank FROM n JOIN p ON n.ecosystem = p.ecosystem AND lower(n.name[1]) = lower(p.name[1]) AND n.name <> p.name AND p.name NOT LIKE '@%' WHERE n.id % 7 = 1) WHERE rank <= 5",
     "malicious_check": f"SELECT id, CASE WHEN whole IS NULL THEN 'clear' WHEN whole OR version IN ('1.0.0', '1.2.0') THEN 'malicious' ELSE 'caution' END AS list_verdict FROM ({_s(VERSIONED)}) v LEFT JOIN ({_s(LISTED)}) l ON v.ecosystem = l.ecosystem AND v.name = l.name",
     "verify_package": f"SELECT id, exists, vulns, malicious, {_ver} AS verdict FROM ({_rep.format(osv='TRUE')})",
+    "check_vulns": f"SELECT id, vulns AS count, malicious FROM ({_rep.format(osv='TRUE')})",
+    "package_info": f"SELECT n.id, exists, age_days, weekly_downloads FROM ({_s(NAMES)}) n LEFT JOIN ({_s(REGISTRY)}) r ON n.ecosystem = r.ecosystem AND n.name = r.name",
     "slopsquat": f"SELECT {_slop} AS slopsquat, count(*) AS n FROM ({_rep.format(osv='TRUE')}) GROUP BY ALL",
     "audit_deps_report": f"SELECT id, vulns, {_ver} AS verdict FROM ({_rep.format(osv='FALSE')})",
     "audit_deps_summary": f"SELECT count(*) AS total, count(*) FILTER (v = 'danger') AS danger, count(*) FILTER (v = 'caution') AS caution, count(*) FILTER (v = 'safe') AS safe, count(*) FILTER (v = 'unknown') AS unknown, count(*) FILTER (NOT exists) AS missing, count(*) FILTER (malicious) AS malicious, count(*) FILTER (vulns > 0) AS vulnerable, count(*) FILTER (deprecated) AS deprecated, count(*) FILTER (vulns IS NULL) AS unchecked FROM (SELECT *, {_ver} AS v FROM ({_rep.format(osv='TRUE')}))",

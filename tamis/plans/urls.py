@@ -73,6 +73,15 @@ def ip_private_v6(spark, sf):
     return forms.select("id", "ip", urls.is_private_any("ip").alias("private"))
 
 
+def ip_reversed(spark, sf):
+    return run(spark, sf, MADE_IPS).select("id", urls.reversed_ip(F.col("ip")).alias("reversed"))
+
+
+def host_argument(spark, sf):
+    given = run(spark, sf, ALL).where("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url")).alias("given"))
+    return given.select("id", urls.host_argument(F.col("given")).alias("host"))
+
+
 TOR = f"SELECT DISTINCT ip FROM ({MADE_IPS}) WHERE id % 50 = 0"
 BLOCKED = f"SELECT DISTINCT ip FROM ({MADE_IPS}) WHERE id % 33 = 0"
 ASN = f"SELECT ip, max(CASE WHEN id % 3 = 0 THEN 'Amazon AWS' ELSE 'Home Net' END) AS org FROM ({MADE_IPS}) WHERE id % 2 = 0 GROUP BY ip"
@@ -134,7 +143,7 @@ _ranges = "(VALUES " + ", ".join(f"('{c}', {a}, {b})" for c, a, b in _nets) + ")
 _private = "(n IS NULL OR " + " OR ".join(f"n BETWEEN {a} AND {b}" for _, a, b in _nets) + ")"
 _links = f"""SELECT page_id, unnest(range(len(xs))) AS pos, unnest(xs) AS link FROM (SELECT page_id, list_filter(xs, lambda x, i: regexp_matches(x, '(?i)^https?://') AND list_position(xs, x) = i) AS xs
 FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1), regexp_extract_all(html, '(?i)https?://[^\\s"''<>)\\]]+')) AS xs FROM ({_s(HTML)})))"""
-QUERIES = {f.__name__: f for f in (url_parse, url_flags, url_score, url_verdict, url_verdict_unchecked, payment_url_verdict, ip_private, ip_ranges_join, ip_private_v6, ip_reputation, password_prefix_join, extract_links, link_risk_topk)}
+QUERIES = {f.__name__: f for f in (url_parse, url_flags, url_score, url_verdict, url_verdict_unchecked, payment_url_verdict, ip_private, ip_ranges_join, ip_private_v6, ip_reversed, host_argument, ip_reputation, password_prefix_join, extract_links, link_risk_topk)}
 SQL = {
     "url_parse": f"SELECT id, valid, scheme, host, port, ls[-1] AS tld FROM ({_parts(_s(ALL))})",
     "url_flags": f"SELECT id, unnest(CASE WHEN valid THEN list_filter([{', '.join(f'CASE WHEN {c} THEN {quoted(n)} END' for n, c, _ in _FLAGS)}], lambda x: x IS NOT NULL) ELSE ['invalid-url'] END) AS flag FROM ({_parts(_s(ALL))})",
@@ -146,6 +155,9 @@ SELECT a.id, a.valid, (CASE WHEN NOT a.valid THEN 100 ELSE least(100, a.score +
 FROM ({_aged_sql}) a JOIN ({_scored(_s(ALL), 'final_url')}) b USING (id))""",
     "ip_private": f"SELECT id, ip, {_private} AS private FROM ({_all_ips})",
     "ip_ranges_join": f"SELECT cidr, count(*) AS n, count(DISTINCT ip) AS ips FROM ({_all_ips}) JOIN {_ranges} ON n BETWEEN low AND high GROUP BY cidr",
+    "ip_reversed": f"SELECT id, concat_ws('.', split_part(ip, '.', 4), split_part(ip, '.', 3), split_part(ip, '.', 2), split_part(ip, '.', 1)) AS reversed FROM ({_s(MADE_IPS)})",
+    "host_argument": f"""SELECT id, CASE WHEN regexp_matches(h, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$') AND h <> '10.0.0.1' THEN h END AS host FROM (SELECT id, lower(regexp_replace(regexp_replace(given, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?', ''), '[:/?#].*$', '')) AS h
+FROM (SELECT id, CASE WHEN id % 4 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS given FROM ({_s(ALL)}) WHERE id % 2 = 0))""",
     "ip_reputation": f"""SELECT id, private, (CASE WHEN private THEN 0 ELSE tor + bl + dc END)::INT AS score, CASE WHEN private THEN 'low-risk' WHEN tor + bl + dc >= 40 THEN 'high-risk' WHEN tor + bl + dc >= 15 THEN 'caution' ELSE 'low-risk' END AS verdict,
 CASE WHEN NOT private AND org IS NULL THEN 'asn' ELSE '' END AS skipped FROM (SELECT id, {_private} AS private, CASE WHEN t.ip IS NULL THEN 0 ELSE 35 END AS tor, CASE WHEN b.ip IS NULL THEN 0 ELSE 40 END AS bl, CASE WHEN regexp_matches(org, {quoted(urls.DATACENTER)}) THEN 10 ELSE 0 END AS dc, org
 FROM (SELECT *, {_num} AS n FROM ({_s(MADE_IPS)})) m LEFT JOIN ({_s(TOR)}) t USING (ip) LEFT JOIN ({_s(BLOCKED)}) b USING (ip) LEFT JOIN ({_s(ASN)}) o USING (ip))""",
