@@ -6,7 +6,8 @@ sources sorted by clamp over weight, the clamped ones are a prefix, so the level
 
 A document is repeated floor(target / size of the source) times, and once more if its seeded number u in
 [0, 1) lies under the source's cut. The cut is read off a histogram of words over u (4,096 bins a source,
-summed before the shuffle), so that the words taken come near the target even where sizes are uneven.
+summed before the shuffle) to the nearest bin, so that the words taken come near the target even where sizes
+are uneven: within half a document where bins hold one, within 1/8,192 of a large source.
 
 Null texts have size 0; null sources form one source, the last; equal ids share one u. An empty table gives
 an empty result. Columns of the input that have an output column's name are replaced.
@@ -59,7 +60,8 @@ def plan(sized: DataFrame, weights: Sequence[float], share: float, max_epochs: f
     c = bins.alias("b").join(small(s).alias("s"), F.col("b._source").eqNullSafe(F.col("s._source")))
     c = c.withColumn("cum", F.sum("words").over(run)).where((F.col("cum") >= F.col("goal")) & (F.col("words") > 0) & (F.col("goal") > 0))
     c = c.groupBy("b._source").agg(F.min(F.struct("bin", "cum", "words", "goal")).alias("x"))
-    cut = (F.col("x.bin") + (F.col("x.goal") - (F.col("x.cum") - F.col("x.words"))) / F.col("x.words")) / BINS
+    over = F.col("x.goal") - (F.col("x.cum") - F.col("x.words"))  # what the last bin should give; it comes whole or not at all
+    cut = (F.col("x.bin") + F.when(over * 2 >= F.col("x.words"), 1).otherwise(0)) / F.lit(float(BINS))
     c = c.select(F.col("_source").alias("_s"), cut.alias("_cut"))
     return s.join(c, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("_cut", F.coalesce("_cut", F.lit(0.0)))
 
@@ -117,7 +119,7 @@ i AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END A
 j AS (SELECT source, source_size, target, floor(epochs)::BIGINT AS whole, (epochs - floor(epochs)) * source_size AS goal FROM i),
 k AS (SELECT bins.source, bin, words, goal, sum(words) OVER (PARTITION BY bins.source ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum
   FROM bins JOIN j ON bins.source IS NOT DISTINCT FROM j.source),
-l AS (SELECT source, arg_min((bin + (goal - (cum - words)::DOUBLE) / words) / 4096, bin) AS cut FROM k WHERE cum >= goal AND words > 0 AND goal > 0 GROUP BY source)
+l AS (SELECT source, arg_min((bin + CASE WHEN (goal - (cum - words)) * 2 >= words THEN 1 ELSE 0 END) / 4096.0::DOUBLE, bin) AS cut FROM k WHERE cum >= goal AND words > 0 AND goal > 0 GROUP BY source)
 SELECT sized.*, source_size, target, whole + CASE WHEN u < coalesce(cut, 0) THEN 1 ELSE 0 END AS copies
 FROM sized JOIN j ON sized.source IS NOT DISTINCT FROM j.source LEFT JOIN l ON sized.source IS NOT DISTINCT FROM l.source"""
 QUERIES = {"op1_mixing": op1_mixing}
