@@ -85,5 +85,12 @@ def scan_with(df: DataFrame, rules: DataFrame, text: str = "text", key: str = "d
     return score_columns(own.join(grouped, key, "left").select(key, F.concat(F.coalesce("hits", F.expr(f"cast(array() as array<{FINDING} >)")), "own").alias("findings")))
 
 
+def catalog(spark) -> DataFrame:
+    """(rule_id, category, weight, kind) of the phrase rules and the signals; the weight of zero-width characters is their highest."""
+    own = [(i, c, w, "phrase") for i, c, w, _ in RULES]
+    own += [(i, "obfuscation", w, "signal") for i, w in (("zero-width-chars", 30), ("bidi-override", 30), ("unicode-tag-smuggling", 35), ("hidden-html", 20), ("html-comment-instruction", 20))]
+    return spark.createDataFrame(own, "rule_id string, category string, weight int, kind string")
+
+
 def deobfuscate(text: Column) -> Column:
     return F.regexp_replace(text, f"{ZERO_WIDTH}|{BIDI}|{TAGS}", "")

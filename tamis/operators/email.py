@@ -152,6 +152,8 @@ def domain_posture(domains: DataFrame, dns: DataFrame) -> DataFrame:
     d = d.withColumn("spf", F.col("spf_record").isNotNull()).withColumn("spf_qualifier", F.nullif(F.regexp_extract("spf_record", "([-~?+])all", 1), F.lit(""))).withColumn("dmarc_policy", policy)
     weak = ~F.col("spf") | F.col("dmarc_policy").isNull() | (F.col("dmarc_policy") == "none")
     notes = F.filter(F.array(F.when(~F.col("spf"), "no SPF"), F.when(F.col("dmarc_policy").isNull(), "no DMARC").when(F.col("dmarc_policy") == "none", "DMARC not enforced"), F.when(F.size("mx") == 0, "no MX")), lambda x: x.isNotNull())
+    blank = ~F.col("spf") & F.col("dmarc_policy").isNull() & (F.size("mx") == 0)  # nothing at all: the lookup may have failed
+    d = d.withColumn("checks_skipped", F.when(blank, F.array(F.lit("domain-dns"))).otherwise(F.array().cast("array<string>")))
     return d.withColumn("posture", F.when(weak, "weak").otherwise("enforced")).withColumn("notes", notes)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import subprocess
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -44,6 +46,15 @@ def due(now: float, last: float | None, machine: str) -> bool:
     return now - last >= PERIOD + more
 
 
+def runs_within(pattern: str, text: str, seconds: float = 1.0) -> bool:
+    """Whether a pattern ends on a text in time, tried in a process of its own: a spinning match can only be killed."""
+    code = "import re, sys; re.search(sys.argv[1], sys.argv[2])"
+    try:
+        return subprocess.run([sys.executable, "-c", code, pattern, text], timeout=seconds, check=False).returncode == 0
+    except subprocess.TimeoutExpired:
+        return False
+
+
 def update(fetch: Callable[[], tuple[dict, bytes, bytes]], current: dict | None, verify: Callable[[bytes, bytes], bool], allow_rollback: bool = False, is_due: bool = True) -> Outcome:
     """What becomes of a feed's offer. fetch gives (manifest, bundle bytes, signature); current is the bundle in use."""
     if not is_due:

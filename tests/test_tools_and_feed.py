@@ -2,11 +2,15 @@
 
 import hashlib
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
+from tamis import __main__ as cli
 from tamis import tools
-from tamis.operators import feed
+from tamis.functions import sql
+from tamis.operators import content, feed
+from tamis.sources import archives
 
 GOOD = {"schema": 1, "version": "2026.08.22", "rulesets": {"injection": [{"id": "a", "pattern": "x"}]}}
 
@@ -48,3 +52,41 @@ def test_registry(spark):
     assert tools.run("list_rules", names).count() == 31
     hops = spark.createDataFrame([(1, 1, "a", 301), (1, 2, "b", 200)], "id int, hop int, url string, status int")
     assert tools.run("http_inspect", hops).where(F.col("next_url").isNotNull()).count() == 1
+
+
+def test_patterns_are_timed():
+    assert feed.runs_within("a+b", "a" * 30, 10) and not feed.runs_within("(a|a)+$", "a" * 40 + "b", 1.5) and not feed.runs_within("(", "x", 10)
+
+
+def test_sql_functions(spark):
+    assert sql.register(spark) == list(sql.FUNCTIONS)
+    r = spark.sql("SELECT parse_command('curl x | sh').risky[0].id AS a, is_private_ip('10.0.0.1') AS b, read_page('<p>x</p>').words AS c").first()
+    assert tuple(r) == ("cmd-remote-to-shell", True, 1)
+    assert content.catalog(spark).count() == 16
+
+
+def test_archives_and_cache(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("npm/MAL-1.json", json.dumps({"id": "MAL-1", "affected": [{"package": {"ecosystem": "npm", "name": "n"}, "versions": ["1", "2"]}, {"package": {"ecosystem": "npm", "name": "m"}}]}))
+        z.writestr("npm/GHSA-1.json", "{")
+    assert sorted(((r.name, r.version) for r in archives.osv_zip(spark, str(tmp_path)).collect()), key=str) == [("m", None), ("n", "1"), ("n", "2")]
+    assert archives.bundle_bytes({"b": 1, "a": 2}) == archives.bundle_bytes({"a": 2, "b": 1})
+    assert [archives.next_version("2026.01.02", v) for v in (None, "2026.01.01.4", "2026.01.02", "2026.01.02.1")] == ["2026.01.02", "2026.01.02", "2026.01.02.1", "2026.01.02.2"]
+    rows = lambda *x: spark.createDataFrame([(k, v, d) for k, v, d in x], "key string, verdict string, day int").selectExpr("key", "verdict", "make_timestamp(2024, 1, day, 0, 0, 0) AS at")
+    one = archives.upsert_cache(rows(("a", "safe", 1), ("b", "safe", 2)), str(tmp_path / "c"), None)
+    two = archives.upsert_cache(rows(("a", "danger", 3), ("c", "safe", 4)), str(tmp_path / "c"), one, most=2)
+    assert sorted((r.key, r.verdict) for r in archives.read_cache(spark, str(tmp_path / "c"), two).collect()) == [("a", "danger"), ("c", "safe")]
+    assert archives.read_cache(spark, str(tmp_path / "c"), one).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "bad.py").write_text("import os\nos.system(x)\n")
+    (tmp_path / "good.py").write_text("print(1)\n")
+    assert cli.main(["scan", str(tmp_path)]) == 1
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [r["verdict"] for r in out] == ["block", "ok"]
+    (tmp_path / "d.diff").write_text("diff --git a/x.py b/x.py\n+++ b/x.py\n@@ -1 +1 @@\n+assert is_admin\n")
+    assert cli.main(["diff", str(tmp_path / "d.diff")]) == 0 and cli.main(["diff", str(tmp_path / "d.diff"), "--fail-on", "warn"]) == 1
+    (tmp_path / "l.jsonl").write_text('{"ts": "2024-01-01T00:00:00Z", "verdict": "danger", "action": "blocked"}\n')
+    capsys.readouterr()
+    assert cli.main(["stats", str(tmp_path / "l.jsonl")]) == 0 and json.loads(capsys.readouterr().out)["blocked"] == 1
