@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
 
 TABLES = "region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations"
 _NAMED = re.compile(rf"\{{({TABLES})\}}")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A query in SQL that both engines read, with {table} for the tables of sf_dir."""
-    return spark.sql(_NAMED.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+
+    def view(m: re.Match) -> str:
+        name = f"{m[1]}_{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+        table(spark, sf_dir, m[1]).createOrReplaceTempView(name)
+        return name
+
+    return spark.sql(_NAMED.sub(view, sql))
 
 
 def plain(sql: str) -> str:
