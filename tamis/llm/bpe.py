@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small_batches, table
 
 MEMO = 250_000  #: pre-tokens kept per worker and generation
 PIECE = 1 << 20
@@ -181,6 +181,7 @@ def _bpe(path: str) -> ByteBpe:
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, keep_ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) and, with keep_ids, ids array<int>. path: a rank file that every machine has."""
+    small_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     narrow = docs.select(key, text)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

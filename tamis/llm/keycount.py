@@ -20,13 +20,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 from .textkernel import slabs
 
 BITS = 48
-GROUP_BYTES, RANGE_BYTES = 6_000_000, 12_000_000
+GROUP_BYTES, RANGE_BYTES = 4_000_000, 12_000_000
 LEAST_PARTS = 64  #: groups of small inputs, at most
-CHUNK_KEYS, CHUNK_DOCS = 3_000_000, 60_000
+CHUNK_KEYS, CHUNK_DOCS = 1_000_000, 60_000
 REQUEST = "p int, groups binary, sizes binary, heads binary, width int, steps binary, counts binary"
 ANSWER = "g long, kind int, p int, n long, total long, counts binary, held binary"
 #: Classes of documents: counted, counted and held out for weights, only asking.
@@ -40,6 +40,7 @@ def layout(docs: DataFrame, text: str) -> tuple[int, int]:
 
     A range answers each group in one row, so rows grow with the product of both.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = min(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     times = min(3.0, max(1.0, (size / 1e9) ** 0.5))  # larger groups and ranges where there would be very many answers

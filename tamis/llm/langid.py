@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, small_batches, table
 
 BITS = 13
 PER_LANGUAGE = 2000
@@ -110,7 +110,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def identify(docs: DataFrame, model: Mixture, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., lang_pred, score."""
+    """keep..., lang_pred, score. Columns of these names are replaced."""
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score") or c == text)
+    small_batches(docs.sparkSession)
     at = keep.index(text) if text in keep else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.p.astype(np.float32)))  # 32 KB a language
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"

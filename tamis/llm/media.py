@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import webp
-from .common import table
+from .common import small_batches, table
 
 UNIT, HIGHEST = 192, 16384
 
@@ -48,7 +48,8 @@ def feature(samples: np.ndarray) -> str:
 
 def describe(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: bool = True) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) and, with keep, media binary."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep
+    small_batches(docs.sparkSession)
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep
 
     def run(batches):
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, small_batches, table
 from .textkernel import bounds, hashes, slabs
 
 PASSAGE = 48
@@ -141,6 +141,7 @@ class Attention:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Attention | float:
     """Fit on at most SAMPLE documents that have a label; one value of label only gives that mean instead."""
+    small_batches(docs.sparkSession)
     draw = F.xxhash64(F.col(key).cast("string"), F.lit("quality"))
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_y")).orderBy(draw, key).limit(SAMPLE)
     rows = docs.where(F.octet_length(F.col(text)) <= LONGEST).select(key, text).join(F.broadcast(chosen), key).repartition(12, F.col(key))
@@ -161,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def score(docs: DataFrame, model: Attention | float, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., score."""
+    """keep..., score. A column of that name is replaced."""
+    keep = tuple(c for c in keep if c != "score" or c == text)
+    small_batches(docs.sparkSession)
     at = keep.index(text) if text in keep else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 30 KB
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "score double"
