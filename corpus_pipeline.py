@@ -12,18 +12,26 @@ from tamis.llm.common import crc_mod, small, stage, table
 LEAST_SHARE = 0.4
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with columns of these names renamed, and what selects all columns under their own names again."""
+    new = {c: f"{c}__own" if c in names else c for c in docs.columns}
+    return docs.select(*(F.col(c).alias(n) for c, n in new.items())), [F.col(n).alias(c) for c, n in new.items()]
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; fitted on labels of ids that aren't held out."""
     model = quality.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
+    docs, columns = aside(docs, "score")
     scored = quality.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; texts without letters and mixtures without a main language go."""
     model = langid.train(docs.where(crc_mod("doc_id", 3) != 1))
+    docs, columns = aside(docs, "lang_pred", "score")
     named = langid.identify(docs, model, keep=tuple(docs.columns))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +46,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.mix_sources(docs)
+    docs, columns = aside(docs, *mixing.OUT)
+    return mixing.mix_sources(docs).select(*columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
