@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
+from odd import SCHEMA, documents
 from test_set_operators import brute_components
 
 from tamis.llm import mixing
@@ -37,5 +38,18 @@ def test_near_duplicates_with_repeated_rows(spark):
     assert sorted(r.doc_id for r in out) == [1, 3, 4]
 
 
+def test_odd_documents_and_clashing_names(spark):
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    for start in (docs, docs.limit(0)):
+        steps = [start]
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            steps.append(f(spark, steps[-1], SF).cache())
+            assert steps[-1].columns == docs.columns and steps[-1].count() <= 3 * steps[-2].count()
+        out = corpus_pipeline.STAGES[-1][1](spark, steps[-1], SF).collect()
+        assert len(out) == steps[-1].count()
+    words = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, SF).select("doc_id").collect()}
+    assert not words & {200, 201, 202, 205} and 203 in words
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
