@@ -4,9 +4,10 @@
 2. Shingles are ordered rare first. Two sets with Jaccard similarity t share one of their first
    n - ceil(t n) + 1 shingles, so only these are candidates' keys, and those of a single document drop out.
 3. Sets that share a key form candidate clusters (stars per key, then components; no pairs are made).
-4. Each cluster's sets meet in one task, or large clusters in tiles, and a signature tree finds the links:
-   nodes hold OR-combined bitmaps and size ranges, a dual traversal prunes pairs of nodes by the largest
-   possible overlap, and what is left is compared in full.
+4. Each cluster's sets meet in one task and a signature tree finds the links: nodes hold OR-combined bitmaps
+   and size ranges, a dual traversal prunes pairs of nodes by the largest possible overlap, and what is left
+   is compared in full. Large clusters meet in tiles, each with the same pivots; what the pivots don't
+   connect to the main component then meets the cluster's other tiles.
 5. Components of the links give each document the smallest id reachable.
 
 Equal sets are one node from the beginning, so groups of copies cost one comparison. Nothing is capped: the
@@ -30,7 +31,8 @@ from .components import components
 from .sigtree import Forest, links
 from .textkernel import M1, M2, M3, mix, slabs, word_hashes
 
-TILE = 4000  #: sets of a cluster that meet in one task; larger clusters are cut into tiles of half that
+TILE = 4_000_000  #: shingles of a cluster that meet in one task; larger clusters are cut into tiles of half that
+PIVOTS = 12  #: sets of a large cluster, by a hash and on average, that every tile of it meets
 CUT = np.uint64(16)
 
 
@@ -121,41 +123,85 @@ def candidate_links(sets: DataFrame) -> DataFrame:
     return rows.join(hubs, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def verified_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between set ids, enough to connect what is connected."""
-    clusters = stage(components(candidate_links(sets)).withColumnRenamed("node", "sid"), "jaccard-clusters")
-    sizes = clusters.groupBy("root").count()
-    tiles = F.when(F.col("count") <= TILE, 1).otherwise(F.ceil(F.col("count") / (TILE // 2))).cast("int")
-    placed = clusters.join(sizes.select("root", tiles.alias("tiles")), "root").withColumn("tile", F.pmod(F.xxhash64("sid", F.lit("tile")), F.col("tiles")).cast("int"))
-    # a set meets those of its own tile and of all others, each pair of tiles in one place
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = placed.select("sid", "root", "tile", other.alias("other")).select("sid", "root", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    clustered = small(clusters.select("sid"), 500_000)  # copies of one set alone are in no cluster and stay where they are
-    members = sets.where(F.col("members").isNotNull()).select("sid", "members").join(clustered, "sid", "left_semi").dropDuplicates(["sid"])
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # clusters are small and many: some hundred together in a task's group, tiles of large ones alone
-    place = F.when(F.col("tiled"), F.xxhash64("root", "low", "high")).otherwise(F.pmod(F.xxhash64("root"), F.lit(8 * parts)))
-    rows = members.join(placed.withColumn("tiled", (F.col("high") > 0)), "sid").withColumn("place", place)
+def meet(members: DataFrame, placed: DataFrame, percent: int, spread: int) -> DataFrame:
+    """(a, b): links found where sets meet. placed(sid, root, low, high, tile, label): sets with equal (root, low, high) meet.
+
+    Where low and high differ only sets of different tiles are compared; equal labels are connected already.
+    """
+    # small meetings are many: some hundred share a task's group, each tile of a large cluster has its own
+    place = F.when(F.col("tiled"), F.xxhash64("root", "low", "high")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread)))
+    rows = members.join(placed, "sid").withColumn("place", place)
 
     def find(group: pa.Table) -> pa.Table:
         a, b = [], []
-        where = list(zip(group.column("root").to_pylist(), group.column("low").to_pylist(), group.column("high").to_pylist(), strict=True))
-        by: dict[tuple[int, int, int], list[int]] = {}
-        for i, w in enumerate(where):
-            by.setdefault(w, []).append(i)
-        sid, raw, tile = group.column("sid").to_pylist(), group.column("members"), group.column("tile").to_pylist()
-        for (_, low, high), own in by.items():
-            own.sort(key=lambda i: sid[i])
-            found_sets = [np.frombuffer(raw[i].as_py(), np.uint64) for i in own]
-            forest = Forest(len(own))
-            links(found_sets, percent, forest, np.array([tile[i] == low for i in own]) if low != high else None)
+        names = ("root", "low", "high", "sid", "tile", "label")
+        root, low, high, sid, tile, label = (group.column(c).to_pylist() for c in names)
+        raw = group.column("members")
+        by: dict[tuple, dict[int, int]] = {}
+        for i, w in enumerate(zip(root, low, high, strict=True)):
+            by.setdefault(w, {})[sid[i]] = i  # a pivot can be there twice
+        for (_, x, y), met in by.items():
+            own = [met[k] for k in sorted(met)]
+            forest, first = Forest(len(own)), {}
+            for k, i in enumerate(own):
+                forest.join(k, first.setdefault(label[i], k))
+            side = np.array([tile[i] == x for i in own]) if x != y else None
+            links([np.frombuffer(raw[i].as_py(), np.uint64) for i in own], percent, forest, side)
             for k in range(len(own)):
                 if (r := forest.find(k)) != k:
                     a.append(sid[own[k]])
                     b.append(sid[own[r]])
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.select("place", "sid", "root", "tile", "low", "high", "members").groupBy("place").applyInArrow(find, "a long, b long")
+    return rows.select("place", "sid", "root", "tile", "low", "high", "label", "members").groupBy("place").applyInArrow(find, "a long, b long")
+
+
+def verified_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between set ids, enough to connect what is connected.
+
+    First the sets of a cluster meet; those of a large one in tiles, each with the same few pivots, so that near
+    copies of one text are all connected after this step. What then isn't in a large cluster's main component
+    meets all other tiles of it.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clusters = stage(components(candidate_links(sets)).withColumnRenamed("node", "sid"), "jaccard-clusters")
+    clustered = small(clusters.select("sid"), 500_000)  # copies of one set alone are in no cluster and stay where they are
+    own = sets.where(F.col("members").isNotNull()).join(clustered, "sid", "left_semi")
+    members = own.select("sid", "members").dropDuplicates(["sid"])
+    weights = own.select("sid", (F.octet_length("members") / 8).cast("long").alias("w")).distinct()
+    clusters = clusters.join(weights, "sid")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
+    clusters = stage(clusters.join(sizes, "root"), "jaccard-clusters")
+    large = F.col("weight") > TILE
+    if not clusters.where(large).take(1):
+        placed = clusters.select("sid", "root", F.lit("").alias("low"), F.lit("").alias("high"), F.lit("").alias("tile"), F.col("sid").alias("label"), F.lit(False).alias("tiled"))
+        return meet(members, placed, percent, 8 * parts)
+    members = stage(members, "jaccard-members")
+    dealt = lambda n: F.pmod(F.xxhash64("sid", F.lit("tile")), n)
+    tiles = F.ceil(F.col("weight") / (TILE // 2)).cast("long")
+    pivot = large & (F.pmod(F.xxhash64("sid", F.lit("pivot")), F.col("n")) < PIVOTS)
+    spots = F.when(pivot, F.sequence(F.lit(0).cast("long"), tiles - 1)).when(large, F.array(dealt(tiles))).otherwise(F.array(F.lit(0).cast("long")))
+    placed = clusters.select("sid", "root", large.alias("tiled"), F.explode(spots.cast("array<string>")).alias("tile"))
+    first = stage(meet(members, placed.select("sid", "root", F.col("tile").alias("low"), F.col("tile").alias("high"), "tile", F.col("sid").alias("label"), "tiled"), percent, 8 * parts), "jaccard-links")
+
+    labels = components(first).withColumnRenamed("node", "sid").withColumnRenamed("root", "label")
+    named = clusters.where(large).select("sid", "root", "w").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = stage(named, "jaccard-labels")
+    main = named.groupBy("root", "label").agg(F.sum("w").alias("m")).groupBy("root").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("n")).select("root", F.col("x.label").alias("main"), "n", (F.col("n") - F.col("x.m")).alias("rest"))
+    main = stage(main.where("rest > 0"), "jaccard-rest")
+    if not main.take(1):
+        return first
+    d = named.join(small(main), "root")
+    half = TILE // 2
+    many = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("long")
+    rest, others = many(F.col("rest")), many(F.col("n") - F.col("rest"))
+    apart = F.col("label") != F.col("main")
+    tile = F.when(apart, F.concat(F.lit("r"), dealt(rest).cast("string"))).otherwise(F.concat(F.lit("s"), dealt(others).cast("string")))
+    every = lambda mark, n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.concat(F.lit(mark), i.cast("string")))
+    meets = F.when(apart, F.concat(every("r", rest), every("s", others))).otherwise(every("r", rest))
+    d = d.withColumn("tile", tile).select("sid", "root", "label", "tile", F.explode(meets).alias("other"))
+    d = d.select("sid", "root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", F.lit(True).alias("tiled"))
+    return first.union(meet(members, d, percent, 8 * parts))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:

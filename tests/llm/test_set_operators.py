@@ -157,7 +157,7 @@ def test_jaccard_tiles_and_chains(spark, monkeypatch):
             text[(i * 7) % 60] = f"z{i}"
     passage = " ".join(vocabulary[k] for k in rng.integers(0, 900, 55))
     rows += [(200 + i, passage + " " + " ".join(vocabulary[k] for k in rng.integers(0, 900, 5 + i))) for i in range(30)]
-    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "TILE", 900)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, jaccard.near_duplicates(df).collect())) == brute_components(rows)
 
