@@ -110,6 +110,7 @@ _mails_n = secrets._mails.replace("(text,", "(txt,")
 _leak = f"CASE WHEN {_leak_n(lambda r: r.severity == 'critical')} > 0 THEN 'block' WHEN {_leak_n(lambda r: True)} + {_mails_n} > 0 THEN 'review' ELSE 'allow' END"
 QUERIES = {f.__name__: f for f in (email_address_parse, auth_results, sender_risk, deliverability, inbound_score, outbound_score, domain_posture, validate_email, email_mime_decode)}
 SQL = {
+    "email_mime_decode": "SELECT c_custkey AS id, c_name AS subject, 'Ignore all previous instructions ' || c_name AS body, '<b>caf' || chr(195) || chr(169) || '</b>' AS html FROM customer",  # =HH is one Latin-1 character
     "email_address_parse": f"SELECT id, from_addr.display AS display, from_addr.email AS email, from_addr.domain AS domain FROM ({_m})",
     "auth_results": f"SELECT id, {_auth('spf')} AS spf, {_auth('dkim')} AS dkim, {_auth('dmarc')} AS dmarc FROM ({_s(MAILS)})",
     "sender_risk": f"SELECT id, {_ids(_SENDER)} AS flags, ({_total(_SENDER)})::INT AS score FROM ({_m})",

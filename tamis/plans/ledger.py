@@ -147,6 +147,7 @@ SQL = {
     "worst_verdict": f"SELECT id, CASE WHEN {_rank('b')} > {_rank('a')} THEN b ELSE a END AS worst FROM (SELECT p_partkey AS id, {_names}[p_partkey % 10 + 1] AS a, {_names}[(p_partkey // 3) % 10 + 1] AS b FROM part)",
     "fail_on_gate": "SELECT * FROM (VALUES ('danger verdict = ''caution''', 0), ('warn verdict = ''caution''', 1), ('danger verdict = ''block''', 1), ('low verdict = ''safe''', 0)) AS t(gate, exit_code)",
     "corpus_report": f"SELECT category, {_rep} FROM ({plain(CASES)}) GROUP BY category UNION ALL SELECT 'all', {_rep} FROM ({plain(CASES)})",
+    "bundle_validate": "SELECT * FROM (VALUES ('good', ''), ('schema', 'schema is not 1'), ('twice', 'injection/a-rule: twice'), ('slow', 'injection/a: could run for ever'), ('group', 'bad version;pii/a-rule: no such group'), ('empty', 'code: empty')) AS t(bundle, errors)",
     "version_compare": "SELECT * FROM (VALUES ('2026.08.22', '2026.08.22.1', -1), ('2026.08.22', '2026.8.22', 0), ('2025.12.31.9', '2026.01.01', -1), ('2026.10.01', '2026.09.30.5', 1)) AS t(a, b, \"order\")",
     "stale_sources": f"SELECT id, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(fetched)) / 86400000000)::BIGINT AS age_days, NOT ok OR coalesce(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(fetched)) / 86400000000) > 7, TRUE) AS stale FROM ({SOURCES})",
     "malicious_build": f"SELECT ecosystem, name, CASE WHEN NOT bool_or(version IS NULL) THEN array_to_string(list_sort(list_distinct(list(version))), ',') END AS versions, min(id) AS advisory FROM ({_s(ADVISORIES)}) WHERE starts_with(id, 'MAL-') AND NOT withdrawn GROUP BY ALL",

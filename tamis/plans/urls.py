@@ -155,6 +155,7 @@ SELECT a.id, a.valid, (CASE WHEN NOT a.valid THEN 100 ELSE least(100, a.score +
 FROM ({_aged_sql}) a JOIN ({_scored(_s(ALL), 'final_url')}) b USING (id))""",
     "ip_private": f"SELECT id, ip, {_private} AS private FROM ({_all_ips})",
     "ip_ranges_join": f"SELECT cidr, count(*) AS n, count(DISTINCT ip) AS ips FROM ({_all_ips}) JOIN {_ranges} ON n BETWEEN low AND high GROUP BY cidr",
+    "ip_private_v6": "SELECT * FROM (VALUES (1, '::1', TRUE), (2, 'fe80::1', TRUE), (3, '::ffff:10.0.0.1', TRUE), (4, '2001:4860:4860::8888', FALSE), (5, '64:ff9b::8.8.8.8', FALSE), (6, '64:ff9b::7f00:1', TRUE), (7, 'garbage', TRUE), (8, '8.8.8.8', FALSE), (9, 'ff02::1', TRUE), (10, '[fd00::2]', TRUE)) AS t(id, ip, private)",
     "ip_reversed": f"SELECT id, concat_ws('.', split_part(ip, '.', 4), split_part(ip, '.', 3), split_part(ip, '.', 2), split_part(ip, '.', 1)) AS reversed FROM ({_s(MADE_IPS)})",
     "host_argument": f"""SELECT id, CASE WHEN regexp_matches(h, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$') AND h <> '10.0.0.1' THEN h END AS host FROM (SELECT id, lower(regexp_replace(regexp_replace(given, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?', ''), '[:/?#].*$', '')) AS h
 FROM (SELECT id, CASE WHEN id % 4 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS given FROM ({_s(ALL)}) WHERE id % 2 = 0))""",
