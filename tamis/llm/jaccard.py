@@ -130,7 +130,7 @@ def meet(members: DataFrame, placed: DataFrame, percent: int, spread: int) -> Da
     """
     # small meetings are many: some hundred share a task's group, each tile of a large cluster has its own
     place = F.when(F.col("tiled"), F.xxhash64("root", "low", "high")).otherwise(F.pmod(F.xxhash64("root"), F.lit(spread)))
-    rows = members.join(placed, "sid").withColumn("place", place)
+    rows = members.join(small(placed, 100_000), "sid").withColumn("place", place)  # places are narrow, members wide
 
     def find(group: pa.Table) -> pa.Table:
         a, b = [], []
