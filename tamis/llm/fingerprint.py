@@ -4,8 +4,9 @@ A text's paragraphs are its pieces up to a line's end or a sentence mark; each h
 has three tables of `per` cells; a digest is counted in one cell of each, with the XOR of digests and of their
 checks. Two sketches of one size are subtracted cell by cell; a cell that holds exactly one digest gives it
 away, it is taken out of its other cells, and so on (peeling) until no cell is left: then the digests in which
-the texts differ are known. Where peeling gets stuck, both are sketched anew with larger tables: for 3, 6
-and 12 times as many cells as both have digests. Should all fail, the sets are compared directly.
+the texts differ are known. Where peeling gets stuck, or the smallest digests have nothing in common, both are
+sketched anew with larger tables: for 3, 6 and 12 times as many cells as both have digests. Should all fail,
+the sets are compared directly.
 
 likeness = 1 - differing / (digests of one + digests of the other); two texts without paragraphs: 1.
 
@@ -24,6 +25,7 @@ from .common import table
 PER = 24  #: cells in each of the three tables of a published sketch
 PRIME = 2147483647
 ROUNDS = 60
+LEAST = 8  #: smallest digests of each text that tell whether the published size can do
 SLICE = 128  #: entries folded at once; keeps the cost in proportion to the number of paragraphs
 CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
 NONE = f"cast(array() as array<{CELL} >)"
@@ -76,8 +78,13 @@ def peel(cells: str, per: str, tag: str) -> str:
 
 
 def differing(a: str, b: str, base_a: str, base_b: str, tag: str) -> str:
-    """Number of digests in one set only: from the published sketches, else from larger ones."""
-    tries = [peel(subtract(base_a, base_b, f"{tag}s0"), str(PER), f"{tag}p0")]
+    """Number of digests in one set only: from the published sketches, else from larger ones.
+
+    Texts that share none of their smallest digests differ too much for the published size, so they begin with
+    the next.
+    """
+    least = lambda x: f"slice(sort_array({x}), 1, {LEAST})"
+    tries = [f"if(arrays_overlap({least(a)}, {least(b)}), {peel(subtract(base_a, base_b, f'{tag}s0'), str(PER), f'{tag}p0')}, null)"]
     for k, times in enumerate((1, 2, 4), 1):
         per = f"per_{tag}{k}"
         larger = combine(f"concat({entries(a, per, 'd', '1')}, {entries(b, per, 'd', '-1')})", f"{tag}s{k}")  # one sketch less the other
