@@ -240,9 +240,10 @@ def not_package(token: Column) -> Column:
 
 
 def did_you_mean(names: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
-    """(id, rank, suggestion): the nearest known names of names(id, name, ecosystem), by edits, then by name; known is a bounded list."""
-    n = names.select("id", "name", "ecosystem").withColumn("initial", F.lower(F.substring("name", 1, 1)))
-    k = known.select("ecosystem", F.col("name").alias("suggestion")).withColumn("initial", F.lower(F.substring("suggestion", 1, 1)))
-    d = n.join(small(k), ["ecosystem", "initial"]).where("suggestion <> name").withColumn("distance", F.levenshtein("name", "suggestion"))
+    """(id, rank, suggestion, distance): the nearest of all known names of the ecosystem to names(id, name, ecosystem), by edits, then by name; known is a bounded list."""
+    k = known.groupBy("ecosystem").agg(F.collect_list("name").alias("_known"))
+    others = F.filter("_known", lambda x: x != F.col("name"))
+    near = F.array_sort(F.transform(others, lambda x: F.struct(F.levenshtein(F.col("name"), x).alias("distance"), x.alias("suggestion"))))
+    d = names.select("id", "name", "ecosystem").join(small(k), "ecosystem").select("id", F.inline(F.slice(near, 1, most)))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "suggestion"))
     return d.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "rank", "suggestion", "distance")

@@ -87,7 +87,7 @@ def typosquat_registered(spark, sf):
 
 
 def did_you_mean(spark, sf):
-    return pk.did_you_mean(_names(spark, sf).where("id % 7 = 1"), _popular(spark, sf).where("name not like '@%'"))
+    return pk.did_you_mean(_names(spark, sf), _popular(spark, sf).where("name not like '@%'"))
 
 
 LISTED = f"SELECT ecosystem, name, rank % 2 = 0 AS whole FROM ({POPULAR}) WHERE rank % 5 = 0"

@@ -2,7 +2,8 @@
 
 import duckdb
 
-from tamis.plans import web
+from tamis.operators import packages as pk
+from tamis.plans import packages, web
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +17,29 @@ def table(sql: str) -> list[tuple]:
 def test_redirect_chain_of_every_order(spark):
     got = [(r.id, r.hops, r.followed) for r in web.redirect_chain(spark, SF).collect()]
     assert sorted(got) == sorted(table("SELECT l_orderkey, count(DISTINCT l_linenumber), count(DISTINCT l_linenumber) - 1 FROM {lineitem} GROUP BY 1"))
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_did_you_mean_of_every_name(spark):
+    known = packages._popular(spark, SF).where("name not like '@%'").collect()
+    want = []
+    for r in packages._names(spark, SF).collect():
+        near = sorted((edits(r.name, k.name), k.name) for k in known if k.ecosystem == r.ecosystem and k.name != r.name)
+        want += [(r.id, i, name, n) for i, (n, name) in enumerate(near[:5], 1)]
+    got = [(r.id, r.rank, r.suggestion, r.distance) for r in packages.did_you_mean(spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_did_you_mean_without_the_first_letter(spark):
+    names = spark.createDataFrame([(1, "equests", "pypi"), (2, "erquests", "pypi"), (3, "xequests", "pypi"), (4, "érequests", "pypi"), (5, None, "pypi"), (6, "requests", "npm")], "id long, name string, ecosystem string")
+    known = spark.createDataFrame([("pypi", "requests"), ("pypi", "exceptions"), ("pypi", "xlrd")], "ecosystem string, name string")
+    got = {r.id: (r.suggestion, r.distance) for r in pk.did_you_mean(names, known, 1).collect()}
+    assert got == {1: ("requests", 1), 2: ("requests", 2), 3: ("requests", 1), 4: ("requests", 1)}
