@@ -43,3 +43,9 @@ def test_did_you_mean_without_the_first_letter(spark):
     known = spark.createDataFrame([("pypi", "requests"), ("pypi", "exceptions"), ("pypi", "xlrd")], "ecosystem string, name string")
     got = {r.id: (r.suggestion, r.distance) for r in pk.did_you_mean(names, known, 1).collect()}
     assert got == {1: ("requests", 1), 2: ("requests", 2), 3: ("requests", 1), 4: ("requests", 1)}
+
+
+def test_requirements_of_every_part(spark):
+    fixed = "(VALUES ('requests', '2.31.0'), ('flask', '2.0'), ('-r', ''), ('numpy', ''), ('pkg', ''), ('a_b.c', '1.4.rc1')) AS t(name, version)"
+    want = table(f"SELECT p_partkey, name, version FROM {{part}}, {fixed} UNION ALL SELECT p_partkey, 'part' || p_partkey, '1.' || p_partkey % 9 FROM {{part}}")
+    assert sorted(tuple(r) for r in packages.requirements_parse(spark, SF).collect()) == sorted(want)
