@@ -3,7 +3,7 @@
 import duckdb
 
 from tamis.operators import packages as pk
-from tamis.plans import packages, web
+from tamis.plans import packages, urls, web
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +49,12 @@ def test_requirements_of_every_part(spark):
     fixed = "(VALUES ('requests', '2.31.0'), ('flask', '2.0'), ('-r', ''), ('numpy', ''), ('pkg', ''), ('a_b.c', '1.4.rc1')) AS t(name, version)"
     want = table(f"SELECT p_partkey, name, version FROM {{part}}, {fixed} UNION ALL SELECT p_partkey, 'part' || p_partkey, '1.' || p_partkey % 9 FROM {{part}}")
     assert sorted(tuple(r) for r in packages.requirements_parse(spark, SF).collect()) == sorted(want)
+
+
+def test_host_argument_of_every_url(spark):
+    db = duckdb.connect()
+    for n in ("part", "pages"):
+        db.sql(f"CREATE VIEW {n} AS SELECT * FROM '{SF}/{n}.parquet'")
+    want = db.sql(urls.SQL["host_argument"].replace(" WHERE id % 2 = 0", "")).fetchall()
+    got = [(r.id, r.host) for r in urls.host_argument(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and len(got) == db.sql("SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM pages)").fetchall()[0][0]
