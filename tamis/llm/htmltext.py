@@ -3,8 +3,10 @@
 A light tree is built from the whole page (implied ends of p, li and the like; raw elements skipped whole).
 Elements that can't be main text by tag, role, class, id or hiding are left out. Each paragraph-like block
 passes points for its length and commas to its ancestors (all to the parent, half to the next, less further
-up); a container's points are discounted by its link density. The best container is taken with those of its
-siblings that score near it or read like paragraphs, and all their blocks are kept in page order.
+up); a container's points are discounted by its link density. The best container is taken with what lies beside
+it and its ancestors, up to the enclosing main, else to what is beside the enclosing article, else the whole page:
+text, headings, lists, tables and sections that are not mostly links, and other articles that score near it. All
+their blocks are kept in page order.
 
 Null and empty pages give an empty text. A page whose blocks all score nothing falls back to its article,
 main or body element. The tree is walked without recursion, in time proportional to its size.
@@ -40,17 +42,19 @@ DROP_WORD = frozenset(
 WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 REACH = 12  #: ancestors that a block passes points to
+LINKS = 0.5  #: from this share of linked text on, what is beside the main text is navigation
 BASE = {"article": 20, "main": 15, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "li": -3}
 
 
 class Node:
-    __slots__ = ("tag", "up", "level", "dropped", "link", "score", "chars", "linked", "kids")
+    __slots__ = ("tag", "up", "level", "dropped", "link", "score", "chars", "linked", "titles", "titled", "kids")
 
     def __init__(self, tag: str, up: Node | None, dropped: bool, link: bool):
         self.tag, self.up, self.dropped, self.link = tag, up, dropped, link
         self.level = up.level + 1 if up else 0
         self.score: float = 0.0
         self.chars = self.linked = 0
+        self.titles = self.titled = 0  # headings of the first two levels, and characters within their links
         self.kids: list[Node] = []
 
 
@@ -163,6 +167,24 @@ def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     return nodes, blocks
 
 
+def around(best: Node) -> Node:
+    """The ancestor (or itself) within which everything beside the best container belongs to it."""
+    main = article = None
+    at = best
+    while at.up:
+        if at.tag == "main":
+            main = at
+        elif at.tag == "article":
+            article = at
+        at = at.up
+    return main or (article and article.up) or at
+
+
+def reads(x: Node) -> bool:
+    """Whether an element is not mostly links; the link of its only title doesn't count."""
+    return x.linked - (x.titled if x.titles == 1 else 0) < LINKS * x.chars
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -173,6 +195,8 @@ def main_text(page: str | None) -> str:
     for node, text, linked in blocks:
         node.chars += len(text)
         node.linked += linked
+        if node.tag in ("h1", "h2"):
+            node.titles, node.titled = node.titles + 1, node.titled + linked
         if len(text) >= 25 and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "figcaption", "caption", "th"):
             points = 1 + text.count(",") + min(len(text) // 100, 3)
             up, k = (node.up or node) if node.tag not in ("div", "section", "article", "main", "body", "td") else node, 0
@@ -186,7 +210,10 @@ def main_text(page: str | None) -> str:
         if x.up:
             x.up.chars += x.chars
             x.up.linked += x.linked
+            x.up.titles += x.titles
+            x.up.titled += x.titled
     fair = lambda x: x.score * (1 - min(1.0, x.linked / x.chars if x.chars else 0))
+    path: set[int] = set()  # ancestors of the best container whose own text is kept
     if not scored:
         kept = [next((x for x in nodes if x.tag in ("article", "main") and x.chars), nodes[0])]
     else:
@@ -194,15 +221,19 @@ def main_text(page: str | None) -> str:
         while best.up and best.up.up and best.up.score > 0 and len([k for k in best.up.kids if k.chars]) == 1:
             best = best.up  # a wrapper around it alone says the same
         kept, least = [best], max(10.0, 0.2 * fair(best))
-        for x in best.up.kids if best.up else []:
-            density = x.linked / x.chars if x.chars else 1
-            if x is not best and not x.dropped and (id(x) in scored and fair(x) >= least or x.tag == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars and not density)):
-                kept.append(x)
+        near = lambda x: id(x) in scored and fair(x) >= least
+        at, top = best, around(best)
+        while at is not top and at.up:
+            path.add(id(at.up))
+            kept += [x for x in at.up.kids if x is not at and x.chars and (near(x) or x.tag != "article" and reads(x))]
+            at = at.up
+        if best is top and best.up:
+            kept += [x for x in best.up.kids if x is not best and x.chars and (near(x) or x.tag == "p" and reads(x))]
     inside = {id(x) for x in kept}
     for x in nodes:
         if x.up and id(x.up) in inside:
             inside.add(id(x))
-    return "\n\n".join(text for node, text, _ in blocks if id(node) in inside)
+    return "\n\n".join(text for node, text, linked in blocks if id(node) in inside or id(node) in path and linked < LINKS * len(text))
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
