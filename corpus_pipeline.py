@@ -34,11 +34,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*columns)
 
 
+def row_key():
+    """A row's doc_id and its text's hash as bytes that sort by id as a number, null ids last, then by hash."""
+    eight = lambda x: F.lpad(F.hex(x), 16, "0")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(2**63)))
+    return F.unhex(F.concat(F.when(F.col("doc_id").isNull(), "01").otherwise("00"), eight(number), eight(F.xxhash64("text"))))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows with one id and text, one."""
-    groups = stage(jaccard.near_duplicates(docs.select("doc_id", "text")), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The row with the smallest id (null ids last), then text hash, of each group of near duplicates; of rows with one id and text, one."""
+    groups = stage(jaccard.near_duplicates(docs.select(row_key().alias("doc_id"), "text")), "groups")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__row"))
+    kept = docs.withColumn("__row", row_key()).join(small(gone), "__row", "left_anti").select(*docs.columns)
     if groups.groupBy("doc_id").count().where("count > 1").take(1):
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
