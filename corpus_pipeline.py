@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tamis.llm import bpe, jaccard, langid, mixing, quality
 from tamis.llm.common import crc_mod, small, stage, table
 
-#: A document stays if its largest language has this share of it at least.
-LEAST_SHARE = 0.4
-
 
 def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
     """docs with columns of these names renamed, and what selects all columns under their own names again."""
@@ -27,11 +24,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts without letters and mixtures without a main language go."""
+    """Documents for which a language is named; only those without letters go."""
     model = langid.train(docs.where(crc_mod("doc_id", 3) != 1))
     docs, columns = aside(docs, "lang_pred", "score")
     named = langid.identify(docs, model, keep=tuple(docs.columns))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*columns)
+    return named.where(F.col("lang_pred") != "und").select(*columns)
 
 
 def row_key():
