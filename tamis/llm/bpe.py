@@ -21,7 +21,8 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
@@ -99,9 +100,11 @@ class ByteBpe:
     """Encoder and decoder over ranks {token bytes: id}."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        keys = list(ranks)
-        self.whole, self.ids = PerfectHash(keys), [ranks[k] for k in keys]
+        self._set(ranks, pattern, PerfectHash(list(ranks)))
+
+    def _set(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash) -> None:
+        self.ranks, self.pattern, self.whole = ranks, regex.compile(pattern), whole
+        self.ids = list(ranks.values())
         size = max(self.ids, default=-1) + 1
         self.token, self.text = [b""] * size, [str(i) for i in range(size)]
         for k, i in ranks.items():
@@ -170,24 +173,36 @@ class ByteBpe:
         return n, a.hexdigest(), b.hexdigest()
 
 
+    def __getstate__(self):
+        return self.ranks, self.pattern.pattern, self.whole
+
+    def __setstate__(self, state):
+        ranks, pattern, whole = state
+        self._set(ranks, pattern, whole)
+
+
 _loaded: dict[str, ByteBpe] = {}
+_shared: dict[tuple[str, str], Broadcast] = {}
 
 
-def _bpe(path: str) -> ByteBpe:
-    if path not in _loaded:
-        _loaded[path] = ByteBpe.load(path)
-    return _loaded[path]
+def _broadcast(spark: SparkSession, path: str) -> Broadcast:
+    """The encoder with its tables, built once on the driver: some 2 MB, whatever the data."""
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _shared:
+        _loaded.setdefault(path, ByteBpe.load(path))
+        _shared[at] = spark.sparkContext.broadcast(_loaded[path])
+    return _shared[at]
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) and, with keep_ids, ids array<int>. path: a rank file that every machine has."""
+    """(key, n_tokens, ids_sha256, decoded_sha256) and, with keep_ids, ids array<int>. path: a rank file that the driver reads."""
     small_batches(docs.sparkSession)
-    path = path or public_tokenizers.path(VOCABULARY)
+    shared = _broadcast(docs.sparkSession, path or public_tokenizers.path(VOCABULARY))
     narrow = docs.select(key, text)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
-        bpe = _bpe(path)
+        bpe = shared.value
         for batch in batches:
             got, ids, ends = [], [], [0]
             for s in batch.column(1):

@@ -28,7 +28,10 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) for every node that has a link; root is the smallest node reachable. links(a, b) of one integer type."""
+    """(node, root) for every node that has a link; root is the smallest node reachable. links(a, b) of one integer type.
+
+    Rounds grow with the logarithm of the longest chain; `most` is a guard that raises instead of going on for ever.
+    """
     e = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     for _ in range(most):
         if _is_stars(e):

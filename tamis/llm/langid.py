@@ -5,8 +5,8 @@ maximisation estimates the proportions of the languages in it; then nested sets
 refitted, and the set with the best likelihood less a penalty for each language is kept. The prediction is
 the largest language of that set, its score that language's proportion.
 
-The trigram counts are fitted on a bounded sample of labelled documents: about PER_LANGUAGE of each language,
-by a hash of the id. Prediction covers every document and the whole text.
+The trigram counts are fitted on a bounded sample of labelled documents: about PER_LANGUAGE of each of the
+LANGUAGES most frequent languages, by a hash of the id. Prediction covers every document and the whole text.
 
 Null texts and texts without letters are `und` with score 0. Ties go to the language first by code point.
 Without training documents every prediction is `und`. Null languages are not learned from.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, small_batches, table
 
 BITS = 13
-PER_LANGUAGE = 2000
+PER_LANGUAGE, LANGUAGES = 2000, 1000
 ROUNDS, PENALTY = 12, 6.0
 LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -87,12 +87,12 @@ class Mixture:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Mixture:
     """Fit on about per_language documents of each language; docs: labelled documents only."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in docs.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
     if not sizes:
         return Mixture([], np.zeros((0, 1 << BITS)))
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1_000_000))
-    chance = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_language / n) * 1_000_000))))
-    sample = docs.where(draw < chance[F.col(lang)]).select(lang, text).repartition(16)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), 11) / F.lit(2.0**53)
+    chance = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))))
+    sample = docs.where(draw < F.coalesce(chance[F.col(lang)], F.lit(0.0))).select(lang, text).repartition(16)
 
     def count(batches):
         got: dict[str, np.ndarray] = {}
