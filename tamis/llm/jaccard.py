@@ -31,9 +31,9 @@ from .components import components
 from .sigtree import Forest, links
 from .textkernel import M1, M2, M3, mix, slabs, word_hashes
 
-TILE = 4_000_000  #: shingles of a cluster that meet in one task; larger clusters are cut into tiles of half that
+TILE, SETS = 4_000_000, 512  #: shingles and sets of a cluster that meet in one task; larger clusters are cut into tiles of half that
 PIVOTS = 12  #: sets of a large cluster, by a hash and on average, that every tile of it meets
-CUT = np.uint64(16)
+CUT = np.uint64(64 - kc.BITS)
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -66,46 +66,40 @@ def set_id(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 def describe(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
     """Staged (id, n, sid, keys, members): keys are the candidates' keys, members the set where there are keys."""
-    buckets, bits = kc.layout(docs, text)
-    grouped = docs.select(kc.group_of(key, text, buckets, kc.COUNTED).alias("g"), F.col(text).alias("text"), F.col(key).alias("id"))
+    shares, bits = kc.layout(docs, text)
+    dealt = kc.dealt(docs, key, text, shares, kc.COUNTED)
 
     def ask(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         h, doc = shingles(buf, offsets, width)
         return [(h >> CUT, doc)]
 
-    answers = kc.answers(grouped.select("g", "text"), ask, bits).where("g >= 0").select("g", "kind", "p", "counts")
+    def both(buf: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        h, doc = shingles(buf, offsets, width)
+        return [(h >> CUT, doc), (h, doc)]
+
+    answers = kc.answers(dealt, ask, bits)
     schema = f"id {docs.schema[key].dataType.simpleString()}, n long, sid long, keys binary, members binary"
 
-    def select(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, n, sids, keys, members = [], [], [], [], []
-        if left.num_rows:
-            hs, docs_, base = [], [], 0
-            for _, buf, offsets in slabs(left.column("text").combine_chunks()):
-                h, doc = shingles(buf, offsets, width)
-                hs.append(h)
-                docs_.append(doc + base)
-                base += len(offsets) - 1
-            h, doc = np.concatenate(hs), np.concatenate(docs_)
-            frequency = kc.of_kind(right, 0)[np.unique(h >> CUT, return_inverse=True)[1]] if len(h) else np.zeros(0, np.int64)
-            cut = np.searchsorted(doc, np.arange(left.num_rows + 1))
-            size = np.diff(cut)
-            sid = set_id(h, cut)
-            prefix = size - (percent * size + 99) // 100 + 1
-            order = np.lexsort((h, frequency, doc))
-            rank = np.arange(len(h)) - cut[doc]
-            chosen = (rank < prefix[doc]) & (frequency[order] > 1)
-            ids = left.column("id").combine_chunks()
-            for i in range(left.num_rows):
-                a, b = int(cut[i]), int(cut[i + 1])
-                n.append(b - a)
-                sids.append(int(sid[i]) if b > a else None)
-                own = h[order[a:b][chosen[a:b]]]
-                keys.append(own.tobytes() if len(own) else None)
-                members.append(h[a:b].tobytes() if len(own) else None)
-        kinds = (left.schema.field("id").type, pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip((ids, n, sids, keys, members), kinds, strict=True)], names=["id", "n", "sid", "keys", "members"])
-
-    return stage(grouped.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(select, schema), "jaccard-sets")
+    def select(cls: int, rows: pa.Table, known) -> pa.RecordBatch:
+        (short, doc), (h, _) = kc.extracted(rows.column("text"), both)
+        frequency = known(0)[np.unique(short, return_inverse=True)[1]] if len(h) else np.zeros(0, np.int64)
+        cut = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        size = np.diff(cut)
+        sid = set_id(h, cut)
+        prefix = size - (percent * size + 99) // 100 + 1
+        order = np.lexsort((h, frequency, doc))
+        rank = np.arange(len(h)) - cut[doc]
+        chosen = (rank < prefix[doc]) & (frequency[order] > 1)
+        keys, members, sids = [], [], []
+        for i in range(rows.num_rows):
+            a, b = int(cut[i]), int(cut[i + 1])
+            sids.append(int(sid[i]) if b > a else None)
+            own = h[order[a:b][chosen[a:b]]]
+            keys.append(own.tobytes() if len(own) else None)
+            members.append(h[a:b].tobytes() if len(own) else None)
+        return pa.RecordBatch.from_arrays([rows.column("id").combine_chunks(), pa.array(size, pa.int64()), pa.array(sids, pa.int64()), pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["id", "n", "sid", "keys", "members"])
+
+    return stage(kc.with_counts(dealt, answers, select, schema), "jaccard-sets")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
@@ -163,7 +157,6 @@ def verified_links(sets: DataFrame, percent: int) -> DataFrame:
     copies of one text are all connected after this step. What then isn't in a large cluster's main component
     meets all other tiles of it.
     """
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clusters = stage(components(candidate_links(sets)).withColumnRenamed("node", "sid"), "jaccard-clusters")
     clustered = small(clusters.select("sid"), 500_000)  # copies of one set alone are in no cluster and stay where they are
     own = sets.where(F.col("members").isNotNull()).join(clustered, "sid", "left_semi")
@@ -172,36 +165,38 @@ def verified_links(sets: DataFrame, percent: int) -> DataFrame:
     clusters = clusters.join(weights, "sid")
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("w").alias("weight"))
     clusters = stage(clusters.join(sizes, "root"), "jaccard-clusters")
-    large = F.col("weight") > TILE
+    weight = clusters.agg(F.sum("w")).first()[0] or 0
+    spread = 8 * max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * weight // TILE)  # places of a sixteenth tile, on average
+    large = (F.col("weight") > TILE) | (F.col("n") > SETS)
     if not clusters.where(large).take(1):
         placed = clusters.select("sid", "root", F.lit("").alias("low"), F.lit("").alias("high"), F.lit("").alias("tile"), F.col("sid").alias("label"), F.lit(False).alias("tiled"))
-        return meet(members, placed, percent, 8 * parts)
+        return meet(members, placed, percent, spread)
     members = stage(members, "jaccard-members")
     dealt = lambda n: F.pmod(F.xxhash64("sid", F.lit("tile")), n)
-    tiles = F.ceil(F.col("weight") / (TILE // 2)).cast("long")
+    many = lambda w, n: F.greatest(F.ceil(w / (TILE // 2)), F.ceil(n / (SETS // 2)), F.lit(1)).cast("long")
+    tiles = many(F.col("weight"), F.col("n"))
     pivot = large & (F.pmod(F.xxhash64("sid", F.lit("pivot")), F.col("n")) < PIVOTS)
     spots = F.when(pivot, F.sequence(F.lit(0).cast("long"), tiles - 1)).when(large, F.array(dealt(tiles))).otherwise(F.array(F.lit(0).cast("long")))
     placed = clusters.select("sid", "root", large.alias("tiled"), F.explode(spots.cast("array<string>")).alias("tile"))
-    first = stage(meet(members, placed.select("sid", "root", F.col("tile").alias("low"), F.col("tile").alias("high"), "tile", F.col("sid").alias("label"), "tiled"), percent, 8 * parts), "jaccard-links")
+    first = stage(meet(members, placed.select("sid", "root", F.col("tile").alias("low"), F.col("tile").alias("high"), "tile", F.col("sid").alias("label"), "tiled"), percent, spread), "jaccard-links")
 
     labels = components(first).withColumnRenamed("node", "sid").withColumnRenamed("root", "label")
     named = clusters.where(large).select("sid", "root", "w").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     named = stage(named, "jaccard-labels")
-    main = named.groupBy("root", "label").agg(F.sum("w").alias("m")).groupBy("root").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("n")).select("root", F.col("x.label").alias("main"), "n", (F.col("n") - F.col("x.m")).alias("rest"))
+    main = named.groupBy("root", "label").agg(F.sum("w").alias("m"), F.count("*").alias("k")).groupBy("root").agg(F.max(F.struct("m", "label", "k")).alias("x"), F.sum("m").alias("n"))
+    main = main.select("root", F.col("x.label").alias("main"), F.col("x.m").alias("m"), F.col("x.k").alias("k"), (F.col("n") - F.col("x.m")).alias("rest"))
     main = stage(main.where("rest > 0"), "jaccard-rest")
     if not main.take(1):
         return first
     d = named.join(small(main), "root")
-    half = TILE // 2
-    many = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("long")
-    rest, others = many(F.col("rest")), many(F.col("n") - F.col("rest"))
+    rest, others = many(F.col("rest"), F.lit(1)), many(F.col("m"), F.col("k"))  # what isn't connected meets itself in few large tiles
     apart = F.col("label") != F.col("main")
     tile = F.when(apart, F.concat(F.lit("r"), dealt(rest).cast("string"))).otherwise(F.concat(F.lit("s"), dealt(others).cast("string")))
     every = lambda mark, n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.concat(F.lit(mark), i.cast("string")))
     meets = F.when(apart, F.concat(every("r", rest), every("s", others))).otherwise(every("r", rest))
     d = d.withColumn("tile", tile).select("sid", "root", "label", "tile", F.explode(meets).alias("other"))
     d = d.select("sid", "root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "label", F.lit(True).alias("tiled"))
-    return first.union(meet(members, d, percent, 8 * parts))
+    return first.union(meet(members, d, percent, spread))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
@@ -221,4 +216,15 @@ def op9_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES = {"op9_ngram_jaccard": op9_ngram_jaccard}
-SQL: dict[str, str] = {}
+#: Every pair of documents that share a shingle, by exact shingles; quadratic in groups of copies, so for small tables.
+SQL = {
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS g FROM w),
+e AS (SELECT r, unnest(g) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.r = a JOIN s y ON y.r = b WHERE 100 * n >= 75 * (len(x.g) + len(y.g) - n)),
+t AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT r AS a, r AS b FROM s UNION SELECT c.a, t.b FROM c JOIN t ON t.a = c.b)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(min(o.doc_id), s.doc_id) AS component_id FROM s JOIN c ON c.a = s.r JOIN s o ON o.r = c.b GROUP BY s.r, s.doc_id, s.g"""
+}

@@ -1,21 +1,27 @@
 """Counts of hashed keys over all documents, handed back to the documents that have them.
 
 Counting n-grams and giving every document its counts are two large exchanges if done row by row. Here keys
-travel as packed sorted arrays. Documents are dealt to groups by a hash. Reading tasks sort the keys of what
-they have read by (key range, group, key), sum equal ones, and send one row a range with 5 bytes or so a key.
-A range sums all its keys and answers each group with the counts of the group's keys in order, most of them 1,
-so answers pack to almost nothing. A group's documents, brought together once, make the same sorted keys
-again and so know the count of each. Nothing is collected on the driver and no task needs a whole table.
+travel as packed sorted arrays. Documents are dealt to shares by a hash and sorted by (class, hash) within them;
+a share's stream of documents is cut into segments, in the same places whenever it is read. Each segment sends
+its distinct keys, sorted, with some 5 bytes a key, to the ranges that count them. A range sums all its keys and
+answers every request with the counts in the order of its keys, most of them 1, so answers pack to almost
+nothing. When the share is streamed again, its answers come first, and each segment makes the same sorted keys
+and so knows the count of each. Nothing is collected on the driver. A task holds one segment or one range at a
+time and the packed answers of a share, however many documents, or equal ones, there are.
 
-Keys have 48 bits here: of a billion different keys about one in 280,000 shares its count with another.
+Requests and answers are one row for each share (more where shares are large) and range, never more than one a
+key. Shares and ranges grow with the input, as far as the memory of executors goes.
+
+Keys have 56 bits here: of 10**12 different keys about one in 70,000 shares its count with another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,33 +29,42 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 from .textkernel import slabs
 
-BITS = 48
-GROUP_BYTES, RANGE_BYTES = 4_000_000, 12_000_000
-LEAST_PARTS = 64  #: groups of small inputs, at most
-CHUNK_KEYS, CHUNK_DOCS = 1_000_000, 60_000
-REQUEST = "p int, groups binary, sizes binary, heads binary, width int, steps binary, counts binary"
-ANSWER = "g long, kind int, p int, n long, total long, counts binary, held binary"
-#: Classes of documents: counted, counted and held out for weights, only asking.
-COUNTED, HELD, ASKING = 0, 1, 2
+BITS = 56
+SEGMENT_BYTES, SEGMENT_DOCS = 4_000_000, 60_000
+SHARE_BYTES, RANGE_BYTES = 8_000_000, 12_000_000
+LEAST_PARTS = 64  #: shares of small inputs, at most
+CHUNK_KEYS = 4_000_000
+REQUEST = "p int, s int, segments binary, sizes binary, heads binary, width int, steps binary, counts binary"
+ANSWER = "s int, held boolean, kind int, p int, n long, total long, apart long, segments binary, sizes binary, counts binary, minus binary"
+#: Classes of documents: counted, counted and held out for weights, only asking. Answers come before them.
+COUNTED, HELD, ASKING, ANSWERS = 0, 1, 2, -1
 
+#: Keys of each kind, and the number of the text that each is from.
 Extractor = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
 
-def layout(docs: DataFrame, text: str) -> tuple[int, int]:
-    """(buckets of documents, bits of key ranges), by the bytes of text.
+def room(docs: DataFrame) -> float:
+    """How many times the memory of the smallest executors (1.8 GB of heap) those of this session have."""
+    text = docs.sparkSession.sparkContext.getConf().get("spark.executor.memory", "1g").lower()
+    unit = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}.get(text.rstrip("b")[-1:], 1)
+    return min(16.0, max(1.0, float(text.rstrip("bkmgt") or 1) * unit / 1.8e9))
 
-    A range answers each group in one row, so rows grow with the product of both.
-    """
+
+def layout(docs: DataFrame, text: str) -> tuple[int, int]:
+    """(shares of documents, bits of key ranges), by the bytes of text."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = min(LEAST_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    times = min(3.0, max(1.0, (size / 1e9) ** 0.5))  # larger groups and ranges where there would be very many answers
-    return max(parts, int(size / (GROUP_BYTES * times)) + 1), max(3, min(20, max(parts // 2, int(size / (RANGE_BYTES * times)) + 1).bit_length()))
+    times = max(1.0, (size / 1e9) ** 0.5)  # larger shares and ranges where there would be very many answers
+    own, by = SHARE_BYTES * min(times, 8.0 * room(docs)), RANGE_BYTES * min(times, 3.0 * room(docs))
+    return max(parts, int(size / own) + 1), max(3, min(24, max(parts // 2, int(size / by) + 1).bit_length()))
 
 
-def group_of(key: str, text: str, buckets: int, kind: Column | int) -> Column:
-    """Three times a bucket of the row's id and text, plus the class."""
-    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(buckets)) * 3 + kind
+def dealt(docs: DataFrame, key: str, text: str, shares: int, kind: Column | int) -> DataFrame:
+    """(s, cls, h, text, id): rows by share, class and a hash of id and text."""
+    h = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    kind = F.lit(kind) if isinstance(kind, int) else kind
+    return docs.select(F.pmod(h, F.lit(shares)).cast("int").alias("s"), kind.cast("int").alias("cls"), h.alias("h"), F.col(text).alias("text"), F.col(key).alias("id"))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -61,37 +76,85 @@ def numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pack(kind: int, keys: list[np.ndarray], groups: list[np.ndarray], bits: int) -> pa.RecordBatch | None:
-    key, group = np.concatenate(keys), np.concatenate(groups)
-    if not len(key):
+def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.Table]]:
+    """(share, class, number within both, rows) of each segment; answers as they come. Batches begin with s, cls and text.
+
+    A segment ends with the row that fills it, so batches' sizes don't matter.
+    """
+    held: list[pa.RecordBatch] = []
+    now, size, rows, number = None, 0, 0, 0
+
+    def done() -> tuple[int, int, int, pa.Table]:
+        return now >> 3, (now & 7) - 1, number, pa.Table.from_batches(held).combine_chunks()
+
+    for batch in batches:
+        code = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << 3 | batch.column(1).to_numpy(zero_copy_only=False) + 1
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i, n = 0, batch.num_rows
+        while i < n:
+            if code[i] != now:
+                if held:
+                    yield done()
+                held, now, size, rows, number = [], int(code[i]), 0, 0, 0
+            same = code[i:] != now
+            end = i + (int(np.argmax(same)) if same.any() else n - i)
+            if not now & 7:
+                yield now >> 3, ANSWERS, 0, pa.Table.from_batches([batch.slice(i, end - i)])
+                i = end
+                continue
+            before = int(total[i - 1]) if i else 0
+            full = int(np.searchsorted(total, before + SEGMENT_BYTES - size)) + 1  # rows up to this one fill it
+            j = min(end, full, i + SEGMENT_DOCS - rows)
+            held.append(batch.slice(i, j - i))
+            size, rows = size + int(total[j - 1]) - before, rows + j - i
+            if size >= SEGMENT_BYTES or rows >= SEGMENT_DOCS:
+                yield done()
+                held, size, rows, number = [], 0, 0, number + 1
+            i = j
+    if held:
+        yield done()
+
+
+def extracted(text: pa.ChunkedArray | pa.Array, extract: Extractor) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All keys of a segment by kind, with their texts' numbers."""
+    column = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+    parts, base = [], 0
+    for _, buf, offsets in slabs(column):
+        parts.append([(key, doc + base) for key, doc in extract(buf, offsets)])
+        base += len(offsets) - 1
+    return [tuple(np.concatenate(x) for x in zip(*kind, strict=True)) for kind in zip(*parts, strict=True)]
+
+
+def _pack(s: int, kind: int, parts: list[tuple[int, np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch | None:
+    """One row a range: (segment code, sorted distinct keys, counts) of some segments."""
+    parts = [x for x in parts if len(x[1])]
+    if not parts:
         return None
-    names, rank = np.unique(group, return_inverse=True)
     low = np.uint64(BITS - bits)
-    code = key >> low << (low + np.uint64(16)) | rank.astype(np.uint64) << low | key & np.uint64((1 << int(low)) - 1)
-    code.sort()
-    at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    count = np.diff(at, append=len(code))
-    code = code[at]
-    part = (code >> np.uint64(64 - bits)).astype(np.int64)
-    run = (code >> low).astype(np.int64)  # range and group
-    value = code & np.uint64((1 << int(low)) - 1)
-    rows = []
+    key, count = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
+    part = (key >> low).astype(np.int64)
+    segment = np.repeat(np.arange(len(parts)), [len(x[1]) for x in parts])
+    order = np.argsort(part, kind="stable")  # range, segment, key
+    part, segment, count = part[order], segment[order], count[order]
+    value = key[order] & np.uint64((1 << int(low)) - 1)
+    new = np.concatenate([[True], (part[1:] != part[:-1]) | (segment[1:] != segment[:-1])])
+    rows, codes = [], np.array([x[0] for x in parts], "<i8")
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
-        head = np.flatnonzero(np.concatenate([[True], run[a + 1 : b] != run[a : b - 1]]))
+        head = np.flatnonzero(new[a:b])
         v = value[a:b]
         steps = np.delete(np.diff(v, prepend=v[:1]), head)
         width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
         rows.append((
-            kind << bits | int(part[a]), names[run[a:b][head] & 0xFFFF].astype("<i8").tobytes(), np.diff(head, append=b - a).astype("<u4").tobytes(), v[head].tobytes(),
+            kind << bits | int(part[a]), s, codes[segment[a:b][head]].tobytes(), np.diff(head, append=b - a).astype("<u4").tobytes(), v[head].tobytes(),
             width, np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), planes(count[a:b]),
         ))
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["p", "groups", "sizes", "heads", "width", "steps", "counts"])
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["p", "s", "segments", "sizes", "heads", "width", "steps", "counts"])
 
 
-def _unpack(groups: bytes, sizes: bytes, heads: bytes, width: int, steps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Group, low key bits and count of each key."""
+def _unpack(sizes: bytes, heads: bytes, width: int, steps: bytes) -> np.ndarray:
+    """Low key bits of each key."""
     size = np.frombuffer(sizes, "<u4").astype(np.int64)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     wide = np.zeros((len(steps) // width, 8), np.uint8)
@@ -101,63 +164,102 @@ def _unpack(groups: bytes, sizes: bytes, heads: bytes, width: int, steps: bytes,
     rest[first] = False
     value[rest] = wide.view(np.uint64).ravel()
     run = np.cumsum(value, dtype=np.uint64)
-    value = run - np.repeat(run[first], size) + np.repeat(np.frombuffer(heads, np.uint64), size)
-    return np.repeat(np.frombuffer(groups, "<i8"), size), value, numbers(counts).astype(np.int64)
+    return run - np.repeat(run[first], size) + np.repeat(np.frombuffer(heads, np.uint64), size)
+
+
+def ordered(docs: DataFrame) -> DataFrame:
+    return docs.repartition("s").sortWithinPartitions("s", "cls", "h")
 
 
 def answers(docs: DataFrame, extract: Extractor, bits: int) -> DataFrame:
-    """For docs(g, text): the staged table of answers, and rows with g = -1 that have the distinct counted keys (n) and their total."""
+    """For dealt docs: the staged table of answers, and rows with s = -1 that have the distinct counted keys (n), their total, and that of the held (apart)."""
 
     def ask(batches):
-        keys: dict[int, list[np.ndarray]] = {}
-        groups: dict[int, list[np.ndarray]] = {}
-        many = rows = 0
+        parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        many, of = 0, -1
 
         def flush():
-            for kind in sorted(keys):
-                if (out := _pack(kind, keys[kind], groups[kind], bits)) is not None:
+            for kind in sorted(parts):
+                if (out := _pack(of, kind, parts[kind], bits)) is not None:
                     yield out
 
-        for batch in batches:
-            group = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, buf, offsets in slabs(batch.column(1)):
-                for kind, (key, doc) in enumerate(extract(buf, offsets)):
-                    keys.setdefault(kind, []).append(key)
-                    groups.setdefault(kind, []).append(group[i + doc])
-                    many += len(key)
-                rows += len(offsets) - 1
-                if many >= CHUNK_KEYS or rows >= CHUNK_DOCS:
-                    yield from flush()
-                    keys, groups, many, rows = {}, {}, 0, 0
-        if many:
-            yield from flush()
+        for s, cls, number, rows in streamed(batches):
+            if parts and (s != of or many >= CHUNK_KEYS):
+                yield from flush()
+                parts, many = {}, 0
+            of = s
+            for kind, (key, _) in enumerate(extracted(rows.column("text"), extract)):
+                key, count = np.unique(key, return_counts=True)
+                parts.setdefault(kind, []).append((cls << 40 | number, key, count))
+                many += len(key)
+        yield from flush()
 
     def answer(name, table):
         p = name[0].as_py()
-        parts = [_unpack(*(table.column(c)[i].as_py() for c in ("groups", "sizes", "heads", "width", "steps", "counts"))) for i in range(table.num_rows)]
-        group, value, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows = [{c: table.column(c)[i].as_py() for c in ("s", "segments", "sizes", "heads", "width", "steps", "counts")} for i in range(table.num_rows)]
+        parts = [_unpack(r["sizes"], r["heads"], r["width"], r["steps"]) for r in rows]
+        each = [np.frombuffer(r["sizes"], "<u4").astype(np.int64) for r in rows]
+        count = np.concatenate([numbers(r["counts"]) for r in rows]).astype(np.int64)
+        kind = np.concatenate([np.repeat(np.frombuffer(r["segments"], "<i8") >> 40, size) for r, size in zip(rows, each, strict=True)])
+        value, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
         del parts
         order = np.argsort(value)
-        new = np.concatenate([[True], value[order][1:] != value[order][:-1]])
+        value = value[order]
         rank = np.empty(len(value), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        kind = group % 3
+        rank[order] = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
+        del order, value
         counted = np.bincount(rank, count * (kind != ASKING)).astype(np.int64)
-        held = np.bincount(rank, count * (kind == HELD)).astype(np.int64)
-        names, g = np.unique(group, return_inverse=True)
-        pairs = np.unique(g.astype(np.int64) << 32 | rank)
-        cut = np.searchsorted(pairs >> 32, np.arange(len(names) + 1))
-        out = [(-1, p >> bits, p & (1 << bits) - 1, int((counted > 0).sum()), int(counted.sum()), None, None)]
-        for i, n in enumerate(names.tolist()):
-            own = pairs[cut[i] : cut[i + 1]] & 0xFFFFFFFF
-            out.append((n, p >> bits, p & (1 << bits) - 1, len(own), 0, planes(counted[own]), planes(held[own]) if n % 3 == HELD else None))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["g", "kind", "p", "n", "total", "counts", "held"])
-
-    return stage(docs.mapInArrow(ask, REQUEST).groupBy("p").applyInArrow(answer, ANSWER), "key-answers")
-
-
-def of_kind(table: pa.Table, kind: int, column: str = "counts") -> np.ndarray:
-    """Counts of a group's distinct keys of one kind, in order of the keys."""
-    rows = sorted((p, c) for k, p, c in zip(table.column("kind").to_pylist(), table.column("p").to_pylist(), table.column(column).to_pylist(), strict=True) if k == kind)
-    return np.concatenate([numbers(c) for _, c in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+        out = [(-1, False, p >> bits, p & (1 << bits) - 1, int((counted > 0).sum()), int(counted.sum()), int(count[kind == HELD].sum()), None, None, None, None)]
+        held = np.bincount(rank, count * (kind == HELD)).astype(np.int64) if (kind == HELD).any() else None
+        for i, r in enumerate(rows):
+            at = rank[ends[i] - int(each[i].sum()) : ends[i]]
+            codes = np.frombuffer(r["segments"], "<i8")
+            apart = codes >> 40 == HELD
+            for of_held in (False, True):
+                own = apart == of_held
+                if own.any():
+                    chosen = at[np.repeat(own, each[i])] if not own.all() else at
+                    out.append((r["s"], of_held, p >> bits, p & (1 << bits) - 1, len(chosen), 0, 0, codes[own].tobytes(), each[i][own].astype("<u4").tobytes(), planes(counted[chosen]), planes(held[chosen]) if of_held else None))
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["s", "held", "kind", "p", "n", "total", "apart", "segments", "sizes", "counts", "minus"])
+
+    return stage(ordered(docs).select("s", "cls", "text").mapInArrow(ask, REQUEST).groupBy("p").applyInArrow(answer, ANSWER), "key-answers")
+
+
+class Answers:
+    """The answers of one share: counts of each segment's distinct keys, in the order of the keys."""
+
+    def __init__(self):
+        self.by: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray | None]]] = {}
+
+    def add(self, rows: pa.Table) -> None:
+        for r in rows.select(["kind", "p", "segments", "sizes", "counts", "minus"]).to_pylist():
+            size = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
+            count, minus = numbers(r["counts"]), numbers(r["minus"]) if r["minus"] is not None else None
+            for code, b, n in zip(np.frombuffer(r["segments"], "<i8").tolist(), np.cumsum(size).tolist(), size.tolist(), strict=True):
+                self.by.setdefault((code, r["kind"]), []).append((r["p"], count[b - n : b], minus[b - n : b] if minus is not None else None))
+
+    def of(self, cls: int, number: int, kind: int, held: bool = False) -> np.ndarray:
+        found = sorted(self.by.get((cls << 40 | number, kind), ()), key=lambda x: x[0])
+        return np.concatenate([x[2 if held else 1] for x in found]).astype(np.int64) if found else np.zeros(0, np.int64)
+
+
+def with_counts(docs: DataFrame, answers: DataFrame, use: Callable[[int, pa.Table, Callable[..., np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """use(class, rows (text, id), counts) for each segment of dealt docs; counts(kind, held=False) are those of its distinct keys."""
+    kind = docs.schema["id"].dataType
+    extra = ("kind", "p", "segments", "sizes", "counts", "minus")
+    none = [F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in extra]
+    left = docs.select("s", "cls", "text", "h", "id", *none)
+    right = answers.where("s >= 0").select("s", F.lit(ANSWERS).alias("cls"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("h"), F.lit(None).cast(kind).alias("id"), *extra)
+
+    def run(batches):
+        of, known = None, Answers()
+        for s, cls, number, rows in streamed(batches):
+            if s != of:
+                of, known = s, Answers()
+            if cls == ANSWERS:
+                known.add(rows)
+            else:
+                yield use(cls, rows.select(["text", "id"]), lambda kind, held=False: known.of(cls, number, kind, held))  # noqa: B023
+
+    return ordered(left.unionByName(right)).mapInArrow(run, schema)

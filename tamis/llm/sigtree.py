@@ -1,6 +1,6 @@
 """Signature trees over sets of hashes: links within a collection without comparing all pairs.
 
-Leaves hold a few sets of similar size. Every node has the OR of its sets' bitmaps and their range of sizes.
+Leaves hold a few sets of similar size that have a smallest hash in common, where there are such. Every node has the OR of its sets' bitmaps and their range of sizes.
 Two nodes are compared only if some pair of their sets could still be similar: sizes must be compatible, and
 the bits in common, with what collisions may hide, must reach the smallest overlap that a link needs. Pairs
 of sets that pass are compared in full, unless they are connected already.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH = 2048
+NARROW, WIDE = 512, 65536  #: bits of a bitmap, at least four for an element of a set of middle size
 LEAF = FAN = 16
 
 
@@ -37,10 +37,11 @@ class Tree:
     def __init__(self, sets: list[np.ndarray]):
         self.sets = sets
         self.size = np.array([len(s) for s in sets], np.int64)
-        bits = np.zeros((len(sets), WIDTH // 8), np.uint8)
+        width = min(WIDE, max(NARROW, 1 << (4 * int(np.median(self.size)) - 1).bit_length()))
+        bits = np.zeros((len(sets), width // 8), np.uint8)
         for i, s in enumerate(sets):
-            own = np.zeros(WIDTH, np.uint8)
-            own[(s % np.uint64(WIDTH)).astype(np.int64)] = 1
+            own = np.zeros(width, np.uint8)
+            own[(s % np.uint64(width)).astype(np.int64)] = 1
             bits[i] = np.packbits(own)
         self.bits = bits.view(np.uint64)
         self.slack = self.size - np.bitwise_count(self.bits).sum(1)
@@ -59,7 +60,8 @@ def links(sets: list[np.ndarray], percent: int, forest: Forest | None = None, on
     Sets i and j are linked when 100 * common >= percent * all. With `one` (True or False for each set), only
     pairs of two different values are compared.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
+    size, least = np.array([len(s) for s in sets]), np.array([s[0] for s in sets], np.uint64)
+    order = np.lexsort((size, least, np.floor(np.log2(size) * 2.5)))
     tree = Tree([sets[i] for i in order])
     forest = forest or Forest(len(sets))
     side = one[order] if one is not None else None

@@ -87,15 +87,45 @@ def test_url_filters(spark):
     assert urlfilter.judge(df.limit(0), spark.createDataFrame(rules, "verdict string, host string, path string")).count() == 0
 
 
-def test_lm_counts_against_brute_force(spark, docs):
-    train = "doc_id % 3 <> 0"
+def brute_lm(rows, trained, weights, uniform, total, distinct):
+    """(id, score, full_score) of each row by plain counting; trained: numbers of rows that were learned from."""
+    padded = [[None, None, *words(t), None] for _, t in rows]
+    grams = lambda k: Counter(g for i in trained for g in own(i, k))
+
+    def own(i, k):
+        p = padded[i]
+        return [tuple(p[j - k + 1 : j + 1]) for j in range(2, len(p))] if k else []
+
+    counts = {k: grams(k) for k in (1, 2, 3)}
+    for i, (key, _) in enumerate(rows):
+        out = []
+        for minus in (Counter(), Counter(g for k in (1, 2, 3) for g in own(i, k))):
+            c = lambda g, m=minus: counts[len(g)][g] - (m[g] if i in trained else 0)
+            n = total - (len(own(i, 1)) if minus and i in trained else 0)
+            starts = c((None,))
+            score, p = 0.0, padded[i]
+            for j in range(2, len(p)):
+                first = j == 2
+                two, one = (starts, starts) if first else (c(tuple(p[j - 2 : j])), c((p[j - 1],)))
+                b = 32 + int(math.log2(two)) if two > 0 else 1 + int(math.log2(one)) if one > 0 else 0
+                parts = (c(tuple(p[j - 2 : j + 1])) / max(two, 1), c(tuple(p[j - 1 : j + 1])) / max(one, 1), c((p[j],)) / max(n, 1), uniform)
+                score += math.log10(sum(w * x for w, x in zip(weights[b], parts, strict=True)) if n > 0 else uniform)
+            out.append(round(score, 6))
+        yield key, out[1], out[0]
+
+
+def test_lm_counts_against_brute_force(spark, docs, monkeypatch):
+    train = "doc_id <> 12"
     from pyspark.sql import functions as F
 
+    learned = []
+    real = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda h, u: learned.append((h, real(h, u), u)) or learned[-1][1])
     got = lm.score_texts(docs, F.expr(train)).collect()
     rows = [(d[0], d[1]) for d in documents()]
     c = Counter()
     for i, t in rows:
-        if i is not None and i % 3:
+        if i is not None and i != 12:
             c.update([*words(t), None])
     total, distinct = sum(c.values()), len(c)
     want = Counter()
@@ -103,10 +133,25 @@ def test_lm_counts_against_brute_force(spark, docs):
         w = [*words(t), None]
         want[i, len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10((c[x] + 0.1) / (total + 0.1 * (distinct + 1))) for x in w), 6)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    trained = {k for k, (i, _) in enumerate(rows) if i is not None and i != 12}
+    histogram, weights, uniform = learned[0]
+    assert Counter((r.doc_id, round(r.score, 6), round(r.full_score, 6)) for r in got) == Counter(brute_lm(rows, trained, weights, uniform, total, distinct))
+    held = {r[0] for r in docs.where(F.expr(train) & (F.pmod(F.xxhash64(F.lit("held"), F.col("doc_id").cast("string")), F.lit(10)) == 0)).select("doc_id").collect()}
+    assert held and histogram[:, 4].sum() == sum(len(words(t)) + 1 for i, t in rows if i in held)
     assert lm.score_texts(docs.limit(0), F.lit(True)).count() == 0
     none = lm.score_texts(docs, F.lit(False)).collect()
-    assert {r.train_tokens for r in none} == {0} and len(none) == len(rows)
+    assert {r.train_tokens for r in none} == {0} and len(none) == len(rows) and {r.score for r in none} == {0.0}
+
+
+def test_lm_scores_repeated_texts_apart(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 400, 40))
+    once = [(i, text()) for i in range(300)]
+    twice = [(1000 + 500 * k + i, t) for i, t in enumerate(text() for _ in range(30)) for k in (0, 1)]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm.score_texts(spark.createDataFrame(once + twice, "doc_id long, text string"), F.lit(True)).collect()}
+    assert min(got[i] for i, _ in twice) > max(got[i] for i, _ in once)
 
 
 def test_lm_beats_the_base(spark):
@@ -115,10 +160,25 @@ def test_lm_beats_the_base(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_is_a_distribution(spark):
-    """The mixture's parts each sum to one over the vocabulary and the unknown word."""
-    w = lm.learn([(1, -16, -100, 50), (1, 1, -120, 200), (3, -40, -90, 70), (0, 1, -100, 9)], 1e-4)
-    assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and w[1, 0] > 0
+def test_lm_weights():
+    """They sum to one, follow the likelihood's maximum, and buckets without events take their neighbour's."""
+    rng = np.random.default_rng(1)
+    events = np.stack([rng.choice([32, 34, 3, 0], 400), rng.choice([1, -2, -9], 400), rng.choice([1, -4, -12], 400), rng.choice([1, -6, -11], 400), rng.integers(1, 30, 400)], 1)
+    events[events[:, 0] < 32, 1] = 1
+    events[events[:, 0] == 0, 2] = 1
+    w = lm.learn(events, 1e-4)
+    assert np.allclose(w.sum(1), 1) and not w[:32, 0].any() and not w[0, 1]
+    assert (w[33] == w[32]).all() and (w[40] == w[34]).all() and (w[7] == w[3]).all()
+    for b in (32, 3):
+        own = events[events[:, 0] == b]
+        p = np.concatenate([np.where(own[:, 1:4] > 0, 0, 2.0 ** (own[:, 1:4] / (2, 2, 1))), np.full((len(own), 1), 1e-4)], 1)
+        like = lambda v: (own[:, 4] * np.log(p @ v)).sum()  # noqa: E731, B023
+        for k in range(4):
+            for m in range(4):
+                near = w[b] + 0.02 * (np.arange(4) == k) - 0.02 * (np.arange(4) == m)
+                if (near >= 0).all():
+                    assert like(w[b]) > like(near) - 1
+    assert np.allclose(lm.learn(np.zeros((0, 5)), 0.5).sum(1), 1)
 
 
 def brute_components(rows, percent=75):
@@ -193,17 +253,44 @@ def test_components(spark):
 
 def test_key_packing():
     rng = np.random.default_rng(3)
-    key, group = rng.integers(0, 2**48, 5000).astype(np.uint64), rng.integers(0, 40, 5000).astype(np.int64) * 3
-    key[::3] = key[0]
-    batch = keycount._pack(1, [key], [group], 5)
+    parts, want = [], Counter()
+    for code in (0, 1, 1 << 40, 2 << 40 | 7):
+        key, count = np.unique(rng.integers(0, 2**56, 2000).astype(np.uint64) & np.uint64(2**56 - 2**20), return_counts=True)
+        parts.append((code, key, count))
+        want.update({(code, int(k)): int(n) for k, n in zip(key, count, strict=True)})
     found = Counter()
-    for r in batch.to_pylist():
-        p = r.pop("p")
-        assert p >> 5 == 1
-        g, low, n = keycount._unpack(**r)
-        for a, b, c in zip(g.tolist(), low.tolist(), n.tolist(), strict=True):
-            found[a, (p & 31) << 43 | b] += c
-    assert found == Counter(zip(group.tolist(), key.tolist(), strict=True))
+    for r in keycount._pack(9, 1, [*parts, (3, np.zeros(0, np.uint64), np.zeros(0, np.int64))], 5).to_pylist():
+        assert r["p"] >> 5 == 1 and r["s"] == 9
+        low = keycount._unpack(r["sizes"], r["heads"], r["width"], r["steps"])
+        codes = np.repeat(np.frombuffer(r["segments"], "<i8"), np.frombuffer(r["sizes"], "<u4"))
+        for code, b, n in zip(codes.tolist(), low.tolist(), keycount.numbers(r["counts"]).tolist(), strict=True):
+            found[code, (r["p"] & 31) << 51 | b] += n
+    assert found == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_segments_do_not_depend_on_batches(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(keycount, "SEGMENT_BYTES", 50)
+    monkeypatch.setattr(keycount, "SEGMENT_DOCS", 6)
+    rng = np.random.default_rng(5)
+    rows = sorted((int(s), int(c), i) for i, (s, c) in enumerate(zip(rng.integers(0, 4, 200), rng.integers(-1, 3, 200), strict=True)))
+    texts = [None if k % 9 == 0 or c < 0 else "x" * (k * 7919 % 40) for s, c, k in rows]
+    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(texts, pa.string()), pa.array([r[2] for r in rows])]
+    table = pa.Table.from_arrays(columns, names=["s", "cls", "text", "id"])
+    want, key = {}, None
+    for (s, c, k), t in zip(rows, texts, strict=True):
+        if (s, c) != key:
+            key, number, size_, n = (s, c), 0, 0, 0
+        want.setdefault((s, c, number), []).append(k)
+        size_, n = size_ + len(t or ""), n + 1
+        if c >= 0 and (size_ >= 50 or n >= 6):
+            number, size_, n = number + 1, 0, 0
+    got = {}
+    for s, c, number, part in keycount.streamed(iter(table.to_batches(max_chunksize=size))):
+        got.setdefault((s, c, number), []).extend(part.column("id").to_pylist())
+    assert got == want
 
 
 def paragraphs(text):
