@@ -3,7 +3,7 @@
 Counting n-grams and giving every document its counts are two large exchanges if done row by row. Here keys
 travel as packed sorted arrays. Documents are dealt to shares by a hash and sorted by (class, hash) within them;
 a share's stream of documents is cut into segments, in the same places whenever it is read. Each segment sends
-its distinct keys, sorted, with some 5 bytes a key, to the ranges that count them. A range sums all its keys and
+its distinct keys, sorted, with less than 5 bytes a key, to the ranges that count them. A range sums all its keys and
 answers every request with the counts in the order of its keys, most of them 1, so answers pack to almost
 nothing. When the share is streamed again, its answers come first, and each segment makes the same sorted keys
 and so knows the count of each. Nothing is collected on the driver. A task holds one segment or one range at a
@@ -12,7 +12,7 @@ time and the packed answers of a share, however many documents, or equal ones, t
 Requests and answers are one row for each share (more where shares are large) and range, never more than one a
 key. Shares and ranges grow with the input, as far as the memory of executors goes.
 
-Keys have 56 bits here: of 10**12 different keys about one in 70,000 shares its count with another.
+Keys have 54 bits here: of 10**12 different keys about one in 18,000 shares its count with another.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 from .textkernel import slabs
 
-BITS = 56
-SEGMENT_BYTES, SEGMENT_DOCS = 4_000_000, 60_000
+BITS = 54
+SEGMENT_BYTES, SEGMENT_DOCS = 6_000_000, 60_000
 SHARE_BYTES, RANGE_BYTES = 8_000_000, 12_000_000
 LEAST_PARTS = 64  #: shares of small inputs, at most
 CHUNK_KEYS = 4_000_000
-REQUEST = "p int, s int, segments binary, sizes binary, heads binary, width int, steps binary, counts binary"
+REQUEST = "p int, s int, segments binary, sizes binary, heads binary, plain int, steps array<binary>, counts binary"
 ANSWER = "s int, held boolean, kind int, p int, n long, total long, apart long, segments binary, sizes binary, counts binary, minus binary"
 #: Classes of documents: counted, counted and held out for weights, only asking. Answers come before them.
 COUNTED, HELD, ASKING, ANSWERS = 0, 1, 2, -1
@@ -76,6 +76,17 @@ def numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def split(steps: np.ndarray) -> tuple[int, list[bytes]]:
+    """Steps between keys as planes of bytes: how many low ones are as good as random, and all, the others packed."""
+    if not len(steps):
+        return 0, []
+    plain = max(0, int(np.log2(max(1.0, float(steps.mean())))) // 8)
+    width = max(1, plain, (int(steps.max()).bit_length() + 7) // 8)
+    wide = steps.view(np.uint8).reshape(-1, 8)
+    each = (np.ascontiguousarray(wide[:, k]).tobytes() for k in range(width))
+    return plain, [x if k < plain else zstandard.ZstdCompressor(level=1).compress(x) for k, x in enumerate(each)]
+
+
 def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.Table]]:
     """(share, class, number within both, rows) of each segment; answers as they come. Batches begin with s, cls and text.
 
@@ -144,21 +155,22 @@ def _pack(s: int, kind: int, parts: list[tuple[int, np.ndarray, np.ndarray]], bi
         head = np.flatnonzero(new[a:b])
         v = value[a:b]
         steps = np.delete(np.diff(v, prepend=v[:1]), head)
-        width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+        plain, planes_ = split(steps)
         rows.append((
             kind << bits | int(part[a]), s, codes[segment[a:b][head]].tobytes(), np.diff(head, append=b - a).astype("<u4").tobytes(), v[head].tobytes(),
-            width, np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), planes(count[a:b]),
+            plain, planes_, planes(count[a:b]),
         ))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["p", "s", "segments", "sizes", "heads", "width", "steps", "counts"])
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.binary()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["p", "s", "segments", "sizes", "heads", "plain", "steps", "counts"])
 
 
-def _unpack(sizes: bytes, heads: bytes, width: int, steps: bytes) -> np.ndarray:
+def _unpack(sizes: bytes, heads: bytes, plain: int, steps: list[bytes]) -> np.ndarray:
     """Low key bits of each key."""
     size = np.frombuffer(sizes, "<u4").astype(np.int64)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    wide = np.zeros((len(steps) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(steps, np.uint8).reshape(-1, width)
+    wide = np.zeros((int(size.sum()) - len(size), 8), np.uint8)
+    for k, raw in enumerate(steps):
+        wide[:, k] = np.frombuffer(raw if k < plain else zstandard.ZstdDecompressor().decompress(raw), np.uint8)
     value = np.zeros(int(size.sum()), np.uint64)
     rest = np.ones(len(value), bool)
     rest[first] = False
@@ -196,8 +208,8 @@ def answers(docs: DataFrame, extract: Extractor, bits: int) -> DataFrame:
 
     def answer(name, table):
         p = name[0].as_py()
-        rows = [{c: table.column(c)[i].as_py() for c in ("s", "segments", "sizes", "heads", "width", "steps", "counts")} for i in range(table.num_rows)]
-        parts = [_unpack(r["sizes"], r["heads"], r["width"], r["steps"]) for r in rows]
+        rows = [{c: table.column(c)[i].as_py() for c in ("s", "segments", "sizes", "heads", "plain", "steps", "counts")} for i in range(table.num_rows)]
+        parts = [_unpack(r["sizes"], r["heads"], r["plain"], r["steps"]) for r in rows]
         each = [np.frombuffer(r["sizes"], "<u4").astype(np.int64) for r in rows]
         count = np.concatenate([numbers(r["counts"]) for r in rows]).astype(np.int64)
         kind = np.concatenate([np.repeat(np.frombuffer(r["segments"], "<i8") >> 40, size) for r, size in zip(rows, each, strict=True)])

@@ -255,16 +255,16 @@ def test_key_packing():
     rng = np.random.default_rng(3)
     parts, want = [], Counter()
     for code in (0, 1, 1 << 40, 2 << 40 | 7):
-        key, count = np.unique(rng.integers(0, 2**56, 2000).astype(np.uint64) & np.uint64(2**56 - 2**20), return_counts=True)
+        key, count = np.unique(rng.integers(0, 2**keycount.BITS, 2000).astype(np.uint64) & np.uint64(2**keycount.BITS - 2**20), return_counts=True)
         parts.append((code, key, count))
         want.update({(code, int(k)): int(n) for k, n in zip(key, count, strict=True)})
     found = Counter()
     for r in keycount._pack(9, 1, [*parts, (3, np.zeros(0, np.uint64), np.zeros(0, np.int64))], 5).to_pylist():
         assert r["p"] >> 5 == 1 and r["s"] == 9
-        low = keycount._unpack(r["sizes"], r["heads"], r["width"], r["steps"])
+        low = keycount._unpack(r["sizes"], r["heads"], r["plain"], r["steps"])
         codes = np.repeat(np.frombuffer(r["segments"], "<i8"), np.frombuffer(r["sizes"], "<u4"))
         for code, b, n in zip(codes.tolist(), low.tolist(), keycount.numbers(r["counts"]).tolist(), strict=True):
-            found[code, (r["p"] & 31) << 51 | b] += n
+            found[code, (r["p"] & 31) << keycount.BITS - 5 | b] += n
     assert found == want
 
 
