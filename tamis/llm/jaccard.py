@@ -31,7 +31,7 @@ from .components import components
 from .sigtree import Forest, links
 from .textkernel import M1, M2, M3, mix, slabs, word_hashes
 
-TILE, SETS = 4_000_000, 512  #: shingles and sets of a cluster that meet in one task; larger clusters are cut into tiles of half that
+TILE, SETS = 4_000_000, 192  #: shingles and sets of a cluster that meet in one task; larger clusters are cut into tiles of half that
 PIVOTS = 12  #: sets of a large cluster, by a hash and on average, that every tile of it meets
 CUT = np.uint64(64 - kc.BITS)
 

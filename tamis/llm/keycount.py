@@ -30,8 +30,8 @@ from .common import small_batches, stage
 from .textkernel import slabs
 
 BITS = 54
-SEGMENT_BYTES, SEGMENT_DOCS = 6_000_000, 60_000
-SHARE_BYTES, RANGE_BYTES = 16_000_000, 12_000_000
+SEGMENT_BYTES, SEGMENT_DOCS = 4_000_000, 60_000
+SHARE_BYTES, RANGE_BYTES = 12_000_000, 12_000_000
 LEAST_PARTS = 64  #: shares of small inputs, at most
 CHUNK_KEYS = 4_000_000
 REQUEST = "p int, s int, segments binary, sizes binary, heads binary, plain int, steps array<binary>, counts binary"
