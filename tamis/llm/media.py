@@ -1,10 +1,10 @@
 """Media columns: texts kept as lossless WebP images of 8-bit samples, read back and described.
 
 A payload is the text's UTF-8 with spaces added up to a positive multiple of 192; it becomes the green samples
-of an image 192 wide (wider by whole multiples where it would be over 16,384 high). The stored bytes are then
-decoded into pixels, and the payload and all features come from those pixels. Null is the empty text: one row
-of spaces. Equal texts have equal files. Payloads end with the last full unit, so nothing else is stored; the
-few that need a wider image are padded to its rows and end where the column payload_bytes says.
+of an image 192 wide, or of several frames of ROWS rows in one file where it is longer, so a text of any length
+is held in memory as such a few times over, and one frame as working space. The stored bytes are then decoded
+into pixels; the payload, its length and all features come from those pixels alone. Null is the empty text: one
+row of spaces. Equal texts have equal files.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from . import webp
 from .common import small_batches, table
 
-UNIT, HIGHEST = 192, 16384
+UNIT, ROWS = 192, 2048
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -28,14 +28,12 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    wide = -(-len(payload) // (UNIT * HIGHEST))
-    if wide * UNIT > HIGHEST:
-        raise ValueError("one image holds at most 2**28 samples")
-    return webp.encode_gray(payload.ljust(-(-len(payload) // (wide * UNIT)) * wide * UNIT, b" "), wide * UNIT)
+    return webp.encode_gray(payload, UNIT, ROWS)
 
 
-def read_back(stored: bytes, size: int) -> np.ndarray:
-    return (webp.decode(stored) >> np.uint32(8) & np.uint32(255)).astype(np.uint8).ravel()[:size]
+def read_back(stored: bytes) -> np.ndarray:
+    parts = [(image >> np.uint32(8)).astype(np.uint8).ravel() for image in webp.frames(stored)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -57,7 +55,7 @@ def describe(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: boo
             for s in batch.column(1):
                 n, payload = payload_of(s.as_py())
                 stored = store(payload)
-                back = read_back(stored, len(payload))
+                back = read_back(stored)
                 raw = back.tobytes()
                 rows.append((n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back)))
                 if keep:
