@@ -26,7 +26,6 @@ PER = 24  #: cells in each of the three tables of a published sketch
 PRIME = 2147483647
 ROUNDS = 60
 LEAST = 8  #: smallest digests of each text that tell whether the published size can do
-SLICE = 128  #: entries folded at once; keeps the cost in proportion to the number of paragraphs
 CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
 NONE = f"cast(array() as array<{CELL} >)"
 
@@ -50,13 +49,13 @@ def entries(keys: str, per: str, of: str, sign: str) -> str:
 
 def combine(cells: str, tag: str) -> str:
     """Cells of the same place summed up, empty ones left out; in order of places."""
-    v, a, s, e, p = (f"{x}_{tag}" for x in "vasep")
-    put = lambda s: f"if({s}.cur is null or ({s}.cur.n = 0 and {s}.cur.k = 0 and {s}.cur.c = 0), {s}.out, array_append({s}.out, {s}.cur))"
-    more = f"named_struct('i', {s}.cur.i, 'n', {s}.cur.n + {e}.n, 'k', {s}.cur.k ^ {e}.k, 'c', {s}.cur.c ^ {e}.c)"
-    merge = f"if({s}.cur.i = {e}.i, named_struct('out', {s}.out, 'cur', {more}), named_struct('out', {put(s)}, 'cur', {e}))"
-    part = f"aggregate(slice({v}, {p} * {SLICE} + 1, {SLICE}), named_struct('out', {NONE}, 'cur', {a}.cur), ({s}, {e}) -> {merge}, {s} -> named_struct('out', concat({a}.out, {s}.out), 'cur', {s}.cur))"
-    whole = f"aggregate(sequence(0, size({v}) div {SLICE}), named_struct('out', {NONE}, 'cur', cast(null as {CELL})), ({a}, {p}) -> {part}, {a} -> {put(a)})"
-    return let(v, f"sort_array({cells})", whole)
+    v, st, j, s, t, m, e, x = (f"{y}_{tag}" for y in ("v", "st", "j", "s", "t", "m", "e", "x"))
+    many = f"coalesce(get({st}, {t} + 1), size({v})) - {s}"
+    merged = f"aggregate(slice({v}, {s} + 2, {many} - 1), {v}[{s}], ({m}, {e}) -> named_struct('i', {m}.i, 'n', {m}.n + {e}.n, 'k', {m}.k ^ {e}.k, 'c', {m}.c ^ {e}.c))"
+    runs = f"transform({st}, ({s}, {t}) -> if({many} = 1, {v}[{s}], {merged}))"
+    first = f"filter(sequence(0, size({v}) - 1), {j} -> {j} = 0 or {v}[{j}].i <> {v}[{j} - 1].i)"  # where runs of one place begin
+    whole = let(st, first, f"filter({runs}, {x} -> {x}.n <> 0 or {x}.k <> 0 or {x}.c <> 0)")
+    return let(v, f"sort_array({cells})", f"if(size({v}) = 0, {NONE}, {whole})")
 
 
 def sketch(keys: str, per: str, tag: str) -> str:
@@ -70,8 +69,8 @@ def subtract(a: str, b: str, tag: str) -> str:
 def peel(cells: str, per: str, tag: str) -> str:
     """Number of digests recovered from a difference; null where it gets stuck."""
     z, w, u = (f"{x}_{tag}" for x in ("z", "w", "u"))
-    pure = f"array_distinct(transform(filter({z}.cells, x -> abs(x.n) = 1 and x.c = x.k % {PRIME}), x -> named_struct('k', x.k, 'n', x.n)))"
-    rest = combine(f"concat({z}.cells, {entries(u, per, 'd.k', '-d.n')})", f"{tag}r")
+    pure = f"array_distinct(transform(filter({z}.cells, x -> abs(x.n) = 1 and x.c = x.k % {PRIME}), x -> shiftleft(x.k, 1) + if(x.n < 0, 1, 0)))"  # longs, which are told apart by hashing
+    rest = combine(f"concat({z}.cells, {entries(u, per, 'shiftright(d, 1)', 'if(d % 2 = 0, -1, 1)')})", f"{tag}r")
     step = let(u, pure, f"if(size({u}) = 0, named_struct('cells', {z}.cells, 'found', {z}.found, 'on', false), named_struct('cells', {rest}, 'found', {z}.found + size({u}), 'on', true))")
     start = f"named_struct('cells', {cells}, 'found', 0, 'on', true)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, ({z}, {w}) -> if(size({z}.cells) = 0 or not {z}.on, {z}, {step}), {z} -> if(size({z}.cells) = 0, {z}.found, null))"
@@ -80,7 +79,7 @@ def peel(cells: str, per: str, tag: str) -> str:
 def differing(a: str, b: str, base_a: str, base_b: str, tag: str) -> str:
     """Number of digests in one set only: from the published sketches, else from larger ones.
 
-    Texts that share none of their smallest digests differ too much for the published size, so they begin with
+    base_b is worked out only where it is used. Texts that share none of their smallest digests differ too much for the published size, so they begin with
     the next.
     """
     least = lambda x: f"slice(sort_array({x}), 1, {LEAST})"
@@ -153,10 +152,10 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     d = d.withColumn("edited", F.expr("concat(substring(_text, 1, cast(n_chars - n_chars div 3 as int)), substring(_next, 1, cast(n_chars div 3 as int)))"))
     d = d.withColumns({"a": F.expr(digests("_text")), "b": F.expr(digests("edited")), "c": F.expr(digests("_next")), "edited_sha256": F.sha2("edited", 256)})
     d = d.select(key, "n_chars", "edited_sha256", "a", "b", "c")
-    d = d.withColumns({x + "s": F.expr(sketch(x, str(PER), x)) for x in "abc"})
+    d = d.withColumns({x + "s": F.expr(sketch(x, str(PER), x)) for x in "ab"})
     return d.select(
         key, "n_chars", "edited_sha256", F.expr(written("`as`")).alias("fingerprint"), F.expr(written("bs")).alias("edited_fingerprint"),
-        F.expr(likeness("a", "b", "`as`", "bs", "e")).alias("near_edited"), F.expr(likeness("a", "c", "`as`", "cs", "n")).alias("near_next"),
+        F.expr(likeness("a", "b", "`as`", "bs", "e")).alias("near_edited"), F.expr(likeness("a", "c", "`as`", sketch("c", str(PER), "c"), "n")).alias("near_next"),
     )
 
 
