@@ -38,8 +38,7 @@ def main(args: list[str]) -> int:
         out = scan_files(files.tree(spark, a.path))
     else:
         diffs = files.diff_files(spark.read.text(a.path, wholetext=True), "value").withColumnRenamed("file", "path")
-        added = code.diff_lines(diffs, "diff", "path").withColumn("lang", F.lit("unknown"))
-        out = code.summarize(code.match_lines(added, "path"), diffs.select("path"), "path").orderBy("path")
+        out = code.summarize(code.diff_findings(diffs, "diff", "path"), diffs.select("path"), "path").orderBy("path")
     out = out.cache()
     for line in out.toJSON().toLocalIterator():
         print(line)

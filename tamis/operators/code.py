@@ -1,7 +1,8 @@
 """Source code and diffs, line by line: language, findings, severities.
 
-Lines are exploded once and tested by a broadcast join with the rules of their language; a finding is one
-(line, rule). Values of the secret scan are findings too, as hardcoded-<id>.
+Lines are exploded once and tested by all rules of their language in one wide expression; a finding is one
+(line, rule). What the secret scan finds in a whole source, also over several lines, is a finding of the line where
+it begins, as hardcoded-<id>, shown by its masked preview only.
 """
 
 from __future__ import annotations
@@ -74,18 +75,36 @@ def lines(df: DataFrame, source: str, *keys: str) -> DataFrame:
 
 
 def match_lines(at: DataFrame, *keys: str) -> DataFrame:
-    """Findings of at(keys, lang, line, text). The 31 rules are a broadcast side of fixed size."""
-    r = F.broadcast(rules(at.sparkSession))
-    hit = at.join(r, (F.col("rule_lang").isin("any") | (F.col("rule_lang") == F.col("lang")) | (F.col("lang") == "unknown")) & F.expr("text rlike pattern"))
-    return hit.select(*keys, "line", "rule_id", "category", "severity", F.substring(F.trim("text"), 1, 160).alias("code"))
+    """Findings of at(keys, lang, line, text): each rule's pattern is a literal, compiled once."""
+    lang, text = F.col("lang"), F.col("text")
+    one = lambda i, c, s: F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"), F.lit(s).alias("severity"))
+    asked = lambda of: F.lit(True) if of == "any" else lang.isin(of, "unknown")
+    every = F.array(*(F.when(asked(of) & F.rlike(text, F.lit(java(p, f))), one(i, c, s)) for i, c, s, of, p, f in RULES))
+    hit = at.withColumn("_found", F.explode(F.filter(every, lambda x: x.isNotNull())))
+    return hit.select(*keys, "line", "_found.*", F.substring(F.trim("text"), 1, 160).alias("code"))
+
+
+def hardcoded(df: DataFrame, source: str, line, *keys: str) -> DataFrame:
+    """Findings of the secret scan over whole sources; line(n) gives the line with n line ends before it."""
+    found = df.withColumn("_f", F.explode(secrets.findings(F.coalesce(F.col(source), F.lit("")))))
+    before = F.regexp_count(F.expr(f"substring(`{source}`, 1, _f.index)"), F.lit("\n"))
+    return found.select(*keys, line(before).alias("line"), F.concat(F.lit("hardcoded-"), F.col("_f.id")).alias("rule_id"), F.lit("hardcoded-secret").alias("category"), "_f.severity", F.concat(F.lit("("), F.col("_f.type"), F.lit(": "), F.col("_f.preview"), F.lit(")")).alias("code"))
 
 
 def with_secrets(df: DataFrame, source: str, key: str) -> DataFrame:
-    """match_lines() of df(key, lang, source), and a hardcoded-<id> finding for each line and kind of secret in it."""
-    at = lines(df, source, key, "lang")
-    kinds = F.array(*(F.when(secrets.count(F.col("text"), r) > 0, F.struct(F.lit(f"hardcoded-{r.id}").alias("rule_id"), F.lit("hardcoded-secret").alias("category"), F.lit(r.severity).alias("severity"))) for r in secrets.RULES))
-    own = at.select(key, "line", "text", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
-    return match_lines(at, key).union(own.select(key, "line", "k.rule_id", "k.category", "k.severity", F.substring(F.trim(secrets.redact(F.col("text"))), 1, 160)))
+    """match_lines() of df(key, lang, source), and a hardcoded-<id> finding for each secret or piece of personal data in a source."""
+    return match_lines(lines(df, source, key, "lang"), key).union(hardcoded(df, source, lambda n: n + 1, key))
+
+
+def diff_findings(df: DataFrame, diff: str, key: str, hint: str | None = None) -> DataFrame:
+    """Findings in what diffs add: language by hint or by the added text, secrets over all added lines together."""
+    added = diff_lines(df, diff, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "line", "text"))).alias("_added"))
+    if hint:
+        added = added.join(df.groupBy(key).agg(F.first(hint).alias("_hint")), key)
+    added = added.withColumn("source", F.array_join(F.transform("_added", lambda x: x["text"]), "\n"))
+    added = added.withColumn("lang", language(F.col("_hint") if hint else F.lit(None).cast("string"), F.col("source")))
+    own = match_lines(added.select(key, "lang", F.inline("_added")).where(F.trim("text") != ""), key)
+    return own.union(hardcoded(added, "source", lambda n: F.get(F.transform("_added", lambda x: x["line"]), n), key))
 
 
 def summarize(found: DataFrame, all_keys: DataFrame, *keys: str) -> DataFrame:
@@ -97,7 +116,7 @@ def summarize(found: DataFrame, all_keys: DataFrame, *keys: str) -> DataFrame:
 
 
 def diff_lines(df: DataFrame, diff: str, *keys: str) -> DataFrame:
-    """(keys, line, text) of lines that unified diffs add, with their numbers in the new file.
+    """(keys, pos, line, text) of lines that unified diffs add, with their places in the diff and numbers in the new file.
 
     A hunk header sets the number; added and context lines advance it, removed ones don't.
     """
@@ -109,4 +128,4 @@ def diff_lines(df: DataFrame, diff: str, *keys: str) -> DataFrame:
     steps = F.when(F.col("start").isNotNull() | header | F.col("raw").startswith("-"), 0).otherwise(1)
     inside = Window.partitionBy(*keys, "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("line", (F.coalesce(F.max("start").over(Window.partitionBy(*keys, "hunk")), F.lit(0)) + F.coalesce(F.sum(steps).over(inside), F.lit(0))).cast("int"))
-    return d.where(F.col("raw").startswith("+") & ~header).select(*keys, "line", F.expr("substring(raw, 2)").alias("text"))
+    return d.where(F.col("raw").startswith("+") & ~header).select(*keys, "pos", "line", F.expr("substring(raw, 2)").alias("text"))

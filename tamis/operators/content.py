@@ -1,7 +1,7 @@
 """Injection phrasings and hidden characters: weighted rules over a text column.
 
-Every rule counts once, by its first match. Static rules are one wide expression without a shuffle; rules
-from a table (a feed) go through scan_with, a join of texts and rules.
+Every rule counts once, by its first match. Rules are one wide expression without a shuffle, also those of a
+feed (scan_with).
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import java
-from ..functions.frames import small
 from ..functions.verdicts import by_score
 
 # Rule id, category, weight, pattern; all without regard to case.
@@ -75,14 +74,22 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return score_columns(df.withColumn("findings", found))
 
 
-def scan_with(df: DataFrame, rules: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, findings, score ...) by fed rules(ordinal, id, category, weight, pattern) in place of the phrase rules; signals stay."""
+MOST_RULES = 5000  #: of a feed; one with more is refused rather than cut
+
+
+def scan_with(df: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
+    """scan() by fed rules(ordinal, id, category, weight, pattern) in place of the phrase rules; signals stay.
+
+    The rules, a document of bounded size, are read once, so that each pattern is a literal that is compiled once.
+    """
+    fed = rules.select("ordinal", "id", "category", "weight", "pattern").orderBy("ordinal").limit(MOST_RULES + 1).collect()
+    if len(fed) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     t = F.coalesce(F.col(text), F.lit(""))
-    own = df.select(key, F.filter(F.array(*signals(t)), lambda f: f["match"] != "").alias("own"))
-    match = F.substring(F.expr(f"regexp_extract(coalesce({text}, ''), pattern, 0)"), 1, 120)
-    hits = df.select(key, text).join(small(rules), F.expr(f"coalesce({text}, '') rlike pattern")).select(key, "ordinal", F.struct("id", "category", F.col("weight").cast("int").alias("weight"), match.alias("match")).alias("f"))
-    grouped = hits.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "f"))), lambda x: x["f"]).alias("hits"))
-    return score_columns(own.join(grouped, key, "left").select(key, F.concat(F.coalesce("hits", F.expr(f"cast(array() as array<{FINDING} >)")), "own").alias("findings")))
+    own = [F.when(F.rlike(t, F.lit(r.pattern)), finding(r.id, r.category, F.lit(r.weight), F.substring(F.regexp_extract(t, r.pattern, 0), 1, 120))) for r in fed]
+    signal = F.filter(F.array(*signals(t)), lambda f: f["match"] != "")
+    found = F.concat(F.filter(F.array(*own), lambda f: f.isNotNull()), signal) if own else signal
+    return score_columns(df.withColumn("findings", found))
 
 
 def catalog(spark) -> DataFrame:

@@ -80,6 +80,44 @@ def ssns(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(java(SSN)), F.lit(0))
 
 
+def places(text: Column, p: str, label: int, value: int) -> Column:
+    """array<struct<index, value>> of a pattern's matches in order: where the value begins (code points, from 0). label, value: groups.
+
+    What lies between matches comes from a split by the same pattern, so a running sum of lengths gives the places.
+    """
+    group = lambda k: F.regexp_extract_all(text, F.lit(p), F.lit(k))
+    empty = F.array().cast("array<struct<index:int,value:string>>")
+
+    def walk(m: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            at = acc["at"] + F.length(m["pieces"][i])
+            before = F.length(m["labels"][i]) if label else F.lit(0)
+            return F.struct((at + F.length(m["wholes"][i])).alias("at"), F.array_append(acc["out"], F.struct((at + before).alias("index"), m["values"][i].alias("value"))).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(m["wholes"]) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    parts = [F.split(text, p, -1).alias("pieces"), group(0).alias("wholes"), group(value).alias("values")] + [group(label).alias("labels")] * bool(label)
+    return F.when(F.rlike(text, F.lit(p)), F.transform(F.array(F.struct(*parts)), walk)[0]).otherwise(empty)
+
+
+def masked(value: Column) -> Column:
+    """The ends of a long value, nothing of a short one."""
+    return F.when(F.length(value) >= 12, F.concat(F.substring(value, 1, 4), F.lit("****"), F.substring(value, -2, 2))).otherwise("****")
+
+
+def findings(text: Column) -> Column:
+    """Every secret and piece of personal data: array<struct<id, kind, type, severity, index, preview>>, rule by rule."""
+
+    def listed(i: str, kind: str, name: str, severity: str, found: Column) -> Column:
+        return F.transform(found, lambda f: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(name).alias("type"), F.lit(severity).alias("severity"), f["index"].alias("index"), masked(f["value"]).alias("preview")))
+
+    own = [listed(r.id, "secret", r.type, r.severity, places(text, java(pattern(r), r.flags), 1, 2)) for r in RULES]
+    mails = F.filter(places(text, java(EMAIL), 0, 0), lambda f: ~F.rlike(f["value"], F.lit(java(RESERVED, "i"))))
+    paid = F.filter(places(text, java(CARD), 0, 0), lambda f: F.call_function("luhn_check", F.regexp_replace(f["value"], "[ -]", "")))
+    pii = (("email", "Email Address", "low", mails), ("ssn", "Social Security Number", "high", places(text, java(SSN), 0, 0)), ("card", "Card Number", "high", paid))
+    return F.concat(*own, *(listed(i, "pii", name, severity, found) for i, name, severity, found in pii))
+
+
 def redact(text: Column) -> Column:
     for r in RULES:
         text = F.regexp_replace(text, java(pattern(r), r.flags), f"$1[REDACTED:{r.type}]$3")
@@ -87,21 +125,15 @@ def redact(text: Column) -> Column:
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with findings (id, type, severity, n), secrets, pii, found, verdict and redacted.
+    """df with findings (one a match, with its place and a masked preview), secrets, pii, found, verdict and redacted.
 
     A critical secret blocks; any other finding asks for review. Null texts have no findings and stay null.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    item = lambda i, k, s, n: F.struct(F.lit(i).alias("id"), F.lit(k).alias("type"), F.lit(s).alias("severity"), n.cast("int").alias("n"))
-    own = [item(r.id, r.type, r.severity, count(t, r)) for r in RULES]
-    pii = [item("email", "Email Address", "low", F.size(emails(t))), item("ssn", "Social Security Number", "high", F.size(ssns(t))), item("card", "Card Number", "high", F.size(cards(t)))]
-    keep = lambda xs: F.filter(F.array(*xs), lambda f: f["n"] > 0)
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, f: a + f["n"])
-    df = df.withColumn("_secret", keep(own)).withColumn("_pii", keep(pii))
-    df = df.withColumn("findings", F.concat("_secret", "_pii")).withColumn("secrets", total(F.col("_secret"))).withColumn("pii", total(F.col("_pii"))).drop("_secret", "_pii")
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind))
+    df = df.withColumn("findings", findings(F.coalesce(F.col(text), F.lit("")))).withColumn("secrets", count("secret")).withColumn("pii", count("pii"))
     df = df.withColumn("found", F.col("secrets") + F.col("pii") > 0)
     block = F.exists("findings", lambda f: f["severity"] == "critical")
-    return df.withColumn("verdict", F.when(block, "block").when(F.col("found"), "review").otherwise("allow")).withColumn("redacted", redact(F.col(text)))
+    return df.withColumn("verdict", F.when(block, "block").when(F.col("found"), "review").otherwise("allow")).withColumn("redacted", F.when(F.col("secrets") > 0, redact(F.col(text))).otherwise(F.col(text)))
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:

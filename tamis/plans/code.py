@@ -8,6 +8,7 @@ from ..functions.dialect import quoted, re2
 from ..functions.frames import plain, run
 from ..functions import verdicts
 from ..operators import code, content
+from . import secrets
 
 SNIPPETS = [
     ("js", "const x = eval(input);\nexec(`ls ${dir}`)\nel.innerHTML = value;\nel.innerHTML = '' ;"),
@@ -27,6 +28,7 @@ _case = lambda i, xs: f"CASE doc_id % {len(xs)} " + " ".join(f"WHEN {k} THEN {te
 
 def text(s: str) -> str:
     """A literal that both engines read: line ends and backslashes apart."""
+    s = s.replace("\x00\x00", "")  # keeps formats of keys apart in this file
     for c, code_point in (("\r", 13), ("\n", 10), ("\\", 92), ("$", 36), ("'", 39)):
         s = s.replace(c, f"\x00{code_point}\x00")
     parts = [f"chr({p})" if k % 2 else f"'{p}'" for k, p in enumerate(s.split("\x00"))]
@@ -38,8 +40,9 @@ DIFFS = [
     ("--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,4 @@\n context\n+os.system(cmd)\n-removed eval(x)\n same\n+  y = eval(z)\n@@ -10 +20,2 @@ def f\n+assert is_admin\n+\n\\ No newline at end of file",),
     ("+before any hunk\n@@ -1 +5 @@\n+++plus plus\n+const a = eval(b)\n unchanged\n+fetch(url)",),
     ("@@ -3,2 +3,2 @@\n-a\n+b\n+++ x\n context eval(a)",),
+    ("@@ -7 +7,4 @@\n+def f(x):\n-old\n+-----BEGIN RSA \x00\x00PRIVATE KEY-----\n+abc\n+-----END RSA \x00\x00PRIVATE KEY-----\n same\n+  yaml.load(x)\n+token = 'abcd1234efgh'",),
 ]
-DIFF = f"SELECT doc_id, {_case(0, DIFFS)} AS diff FROM {{documents}}"
+DIFF = f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'js' WHEN 1 THEN '' END AS hint, {_case(0, DIFFS)} AS diff FROM {{documents}}"
 _string = lambda sql: plain(sql).replace("AS STRING", "AS VARCHAR")
 
 
@@ -64,10 +67,14 @@ def code_summary(spark, sf):
     return code.summarize(_found(spark, sf), run(spark, sf, CODE).select("doc_id"), "doc_id")
 
 
+PLANTED = f"""SELECT doc_id, hint, code || CASE doc_id % 4 WHEN 0 THEN chr(10) || 'password = ' || chr(39) || 'abcd1234xy' || chr(39) WHEN 1 THEN chr(13) || chr(10) || '-----BEGIN RSA ' || 'PRIVATE KEY-----' || chr(10) || 'abc' || CAST(doc_id AS STRING) || chr(10) || '-----END RSA ' || 'PRIVATE KEY-----' || chr(10) || 'mail = bob@corp.io'
+ WHEN 2 THEN ' key = AKIA' || repeat('AB12', 4) || chr(10) || '# ssn 123-45-6789' ELSE '' END AS source FROM ({CODE})"""
+
+
 def code_secrets(spark, sf):
-    """Findings with hard-coded secrets; their values are taken out of the line shown."""
-    df = run(spark, sf, CODE).withColumn("code", F.when(F.col("doc_id") % 3 == 0, F.concat("code", F.lit("\npassword = 'abcd1234xy'"))).otherwise(F.col("code"))).withColumn("lang", F.lit("js")).withColumnRenamed("code", "source")
-    return code.with_secrets(df, "source", "doc_id").where("category = 'hardcoded-secret'").select("doc_id", "line", "rule_id", "code")
+    """Findings of hard-coded values, also over several lines."""
+    df = run(spark, sf, PLANTED).withColumn("lang", F.lit("js"))
+    return code.with_secrets(df, "source", "doc_id").where("category = 'hardcoded-secret'").select("doc_id", "line", "rule_id", "severity", "code")
 
 
 def file_verdict(spark, sf):
@@ -85,12 +92,17 @@ def rule_catalog(spark, sf):
 
 
 def diff_added_lines(spark, sf):
-    return code.diff_lines(run(spark, sf, DIFF), "diff", "doc_id")
+    return code.diff_lines(run(spark, sf, DIFF), "diff", "doc_id").drop("pos")
 
 
 def diff_findings(spark, sf):
-    added = code.diff_lines(run(spark, sf, DIFF), "diff", "doc_id")
-    return code.match_lines(added.withColumn("lang", F.lit("unknown")), "doc_id")
+    return code.diff_findings(run(spark, sf, DIFF), "diff", "doc_id", "hint")
+
+
+def list_rules(spark, sf):
+    from .. import tools
+
+    return tools.TOOLS["list_rules"].run(spark.range(1))
 
 
 def _rules() -> str:
@@ -117,20 +129,24 @@ _diff = f"""d AS ({plain(DIFF)}), u AS (SELECT doc_id, string_split_regex(diff,
 w AS (SELECT *, CASE WHEN {_h} = '' THEN NULL ELSE {_h}::INT END AS start, starts_with(x, '+++') OR starts_with(x, '---') AS header FROM v),
 y AS (SELECT *, count(start) OVER (PARTITION BY doc_id ORDER BY pos) AS hunk FROM w),
 z AS (SELECT *, max(start) OVER (PARTITION BY doc_id, hunk) AS first, sum(CASE WHEN start IS NOT NULL OR header OR starts_with(x, '-') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, hunk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS steps FROM y),
-l AS (SELECT doc_id, 'unknown' AS lang, (coalesce(first, 0) + coalesce(steps, 0))::INT AS line, substr(x, 2) AS text FROM z WHERE starts_with(x, '+') AND NOT header)"""
+a AS (SELECT doc_id, pos, (coalesce(first, 0) + coalesce(steps, 0))::INT AS line, substr(x, 2) AS text FROM z WHERE starts_with(x, '+') AND NOT header),
+j AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS code, list(line ORDER BY pos) AS numbers, any_value(coalesce(hint, '')) AS hint FROM a JOIN (SELECT doc_id, hint FROM d) USING (doc_id) GROUP BY doc_id), q AS (SELECT *, {_lang} AS lang FROM j),
+l AS (SELECT doc_id, lang, line, text FROM a JOIN (SELECT doc_id, lang FROM q) USING (doc_id) WHERE trim(text) <> '')"""
+_ends = lambda c: f"(length(substr({c}, 1, index)) - length(replace(substr({c}, 1, index), chr(10), '')))::INT"
 _scores = " + ".join(f"CASE WHEN regexp_matches(code, {quoted(re2(p, 'i'))}) THEN {w} ELSE 0 END" for _, _, w, p in content.RULES)
-QUERIES = {f.__name__: f for f in (code_lang, code_findings, code_summary, code_secrets, file_verdict, rule_catalog, diff_added_lines, diff_findings)}
+QUERIES = {f.__name__: f for f in (code_lang, code_findings, code_summary, code_secrets, file_verdict, rule_catalog, diff_added_lines, diff_findings, list_rules)}
 SQL = {
     "code_lang": f"SELECT doc_id, {_lang} AS lang FROM ({_string(CODE)})",
     "code_findings": f"WITH {_lines} {_hits}",
     "code_summary": f"""WITH {_lines}, f AS ({_hits}), n AS (SELECT doc_id, count(rule_id) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high,
   count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM g LEFT JOIN f USING (doc_id) GROUP BY doc_id)
 SELECT *, CASE WHEN critical + high > 0 THEN 'block' WHEN total > 0 THEN 'review' ELSE 'pass' END AS verdict FROM n""",
-    "code_secrets": f"SELECT doc_id, len(string_split(code, chr(10)))::INT + 1 AS line, 'hardcoded-generic' AS rule_id, 'password = ' || chr(39) || '[REDACTED:Generic Secret Assignment]' || chr(39) AS code FROM ({_string(CODE)}) WHERE doc_id % 3 = 0",
+    "code_secrets": f"WITH c AS ({_string(PLANTED)}), h AS ({secrets.found_sql('c', 'doc_id', 'source')}) SELECT doc_id, 1 + {_ends('source')} AS line, 'hardcoded-' || rule_id AS rule_id, severity, '(' || type || ': ' || preview || ')' AS code FROM h JOIN c USING (doc_id)",
     "file_verdict": f"""WITH {_lines}, f AS ({_hits}), n AS (SELECT doc_id, count(*) FILTER (severity IN ('critical', 'high')) AS hard, count(rule_id) AS total FROM g LEFT JOIN f USING (doc_id) GROUP BY doc_id),
 i AS (SELECT doc_id, least(100, {_scores}) AS score FROM c)
 SELECT doc_id, CASE WHEN hard > 0 OR score >= 35 THEN 'block' WHEN total > 0 OR score >= 15 THEN 'review' ELSE 'ok' END AS verdict FROM n JOIN i USING (doc_id)""",
     "rule_catalog": f"WITH {_rules()} SELECT category, count(*) AS n, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM r GROUP BY category UNION ALL SELECT 'hardcoded-secret', 1, 'hardcoded-*'",
-    "diff_added_lines": f"WITH {_diff} SELECT doc_id, line, text FROM l",
-    "diff_findings": f"WITH {_diff}, {_rules()} {_hits}",
+    "diff_added_lines": f"WITH {_diff} SELECT doc_id, line, text FROM a",
+    "diff_findings": f"WITH {_diff}, {_rules()}, h AS ({secrets.found_sql('q', 'doc_id', 'code')}) {_hits} UNION ALL SELECT doc_id, numbers[1 + {_ends('code')}], 'hardcoded-' || rule_id, 'hardcoded-secret', severity, '(' || type || ': ' || preview || ')' FROM h JOIN q USING (doc_id)",
+    "list_rules": f"WITH {_rules()} SELECT rule_id, category, severity, rule_lang AS lang FROM r UNION ALL SELECT 'hardcoded-*', 'hardcoded-secret', 'critical', 'any'",
 }

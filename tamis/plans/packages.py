@@ -210,7 +210,7 @@ SELECT id, CASE WHEN na OR t OR (own AND look) OR cached = 'danger' THEN 'danger
     "pkg_verdict_no_list": f"SELECT CASE WHEN strlen(name) > length(name) THEN 'danger' ELSE 'unknown' END AS verdict, count(*) AS n FROM ({_s(NAMES)}) GROUP BY ALL",
     "typosquat_variants": f"{_vs} SELECT * FROM t",
     "typosquat_registered": f"{_vs} SELECT name, count(*) AS registered FROM t WHERE pos < 20 AND variant IN (SELECT name FROM ({_s(NAMES)})) GROUP BY name",
-    "did_you_mean": f"WITH {_with} SELECT id, rank::INT AS rank, suggestion, distance::INT AS distance FROM (SELECT n.id, p.name AS suggestion, levenshtein(n.name, p.name) AS distance, row_number() OVER (PARTITION BY n.id ORDER BY levenshtein(n.name, p.name), p.name) AS rank FROM n JOIN p ON n.ecosystem = p.ecosystem AND lower(n.name[1]) = lower(p.name[1]) AND n.name <> p.name AND p.name NOT LIKE '@%' WHERE n.id % 7 = 1) WHERE rank <= 5",
+    "did_you_mean": f"WITH {_with} SELECT id, rank::INT AS rank, suggestion, distance::INT AS distance FROM (SELECT n.id, p.name AS suggestion, levenshtein(translate(n.name, 'é', '~'), p.name) AS distance, row_number() OVER (PARTITION BY n.id ORDER BY levenshtein(translate(n.name, 'é', '~'), p.name), p.name) AS rank FROM n JOIN p ON n.ecosystem = p.ecosystem AND n.name <> p.name AND p.name NOT LIKE '@%') WHERE rank <= 5",
     "malicious_check": f"SELECT id, CASE WHEN whole IS NULL THEN 'clear' WHEN whole OR version IN ('1.0.0', '1.2.0') THEN 'malicious' ELSE 'caution' END AS list_verdict FROM ({_s(VERSIONED)}) v LEFT JOIN ({_s(LISTED)}) l ON v.ecosystem = l.ecosystem AND v.name = l.name",
     "verify_package": f"SELECT id, exists, vulns, malicious, {_ver} AS verdict FROM ({_rep.format(osv='TRUE')})",
     "check_vulns": f"SELECT id, vulns AS count, malicious FROM ({_rep.format(osv='TRUE')})",
@@ -219,7 +219,7 @@ SELECT id, CASE WHEN na OR t OR (own AND look) OR cached = 'danger' THEN 'danger
     "audit_deps_report": f"SELECT id, vulns, {_ver} AS verdict FROM ({_rep.format(osv='FALSE')})",
     "audit_deps_summary": f"SELECT count(*) AS total, count(*) FILTER (v = 'danger') AS danger, count(*) FILTER (v = 'caution') AS caution, count(*) FILTER (v = 'safe') AS safe, count(*) FILTER (v = 'unknown') AS unknown, count(*) FILTER (NOT exists) AS missing, count(*) FILTER (malicious) AS malicious, count(*) FILTER (vulns > 0) AS vulnerable, count(*) FILTER (deprecated) AS deprecated, count(*) FILTER (vulns IS NULL) AS unchecked FROM (SELECT *, {_ver} AS v FROM ({_rep.format(osv='TRUE')}))",
     "clean_version": f"SELECT id, nullif(regexp_extract(version, '[0-9]+\\.[0-9]+(?:\\.[0-9]+)?'), '') AS clean FROM ({_s(VERSIONS)})",
-    "requirements_parse": "SELECT p_partkey AS id, name, version FROM part, (VALUES ('requests', '2.31.0'), ('flask', '2.0'), ('-r', ''), ('numpy', ''), ('pkg', ''), ('a_b.c', '1.4.rc1')) AS t(name, version) WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'part' || p_partkey, '1.' || p_partkey % 9 FROM part WHERE p_partkey % 10 = 0",
+    "requirements_parse": "SELECT p_partkey AS id, name, version FROM part, (VALUES ('requests', '2.31.0'), ('flask', '2.0'), ('-r', ''), ('numpy', ''), ('pkg', ''), ('a_b.c', '1.4.rc1')) AS t(name, version) UNION ALL SELECT p_partkey, 'part' || p_partkey, '1.' || p_partkey % 9 FROM part",
     "npm_spec": f"SELECT id, CASE WHEN strpos(substr(token, 2), '@') > 0 THEN left(token, strpos(substr(token, 2), '@')) ELSE token END AS name, CASE WHEN strpos(substr(token, 2), '@') > 0 THEN nullif(substr(token, strpos(substr(token, 2), '@') + 2), '') END AS version FROM {_tok}",
     "pip_spec": f"SELECT id, coalesce(nullif(regexp_extract(token, '^([A-Za-z0-9._-]+)', 1), ''), token) AS name, nullif(regexp_extract(token, '^[A-Za-z0-9._-]+(?:\\[[^\\]]*\\])?[ \\t]*(?:===|==|>=|<=|~=|!=|>|<)[ \\t]*([^ \\t,;]+)', 1), '') AS version FROM {_tok}",
     "not_package_reason": f"SELECT id, token, CASE WHEN starts_with(token, '-') THEN NULL WHEN token[1] IN ('.', '~', '/') OR regexp_matches(token, '^[A-Za-z]:[\\\\/]') THEN 'local path' WHEN regexp_matches(token, {quoted(pk.NOT_NAMES)}) THEN 'url' WHEN regexp_matches(token, '^[^@/]+/[^@/]+$') THEN 'owner/repo' WHEN regexp_matches(token, '[$`*?]') THEN 'expansion' END AS reason FROM {_tok}",

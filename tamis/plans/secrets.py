@@ -56,7 +56,12 @@ def pii_ssn(spark, sf):
 
 def secrets_formats(spark, sf):
     found = _scan(spark, sf).select("doc_id", F.explode("findings").alias("f"))
-    return found.groupBy(F.col("f.id").alias("rule_id")).agg(F.count("*").alias("docs"), F.sum("f.n").alias("n"))
+    return found.groupBy(F.col("f.id").alias("rule_id")).agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("n"))
+
+
+def secrets_findings(spark, sf):
+    found = _scan(spark, sf).select("doc_id", F.explode("findings").alias("f"))
+    return found.select("doc_id", F.col("f.id").alias("rule_id"), "f.kind", "f.severity", "f.index", "f.preview")
 
 
 def redact_values(spark, sf):
@@ -72,15 +77,31 @@ def scan_secrets_spans(spark, sf):
     return out.select("doc_id", F.col("r.n").alias("n"), F.col("r.redacted").alias("redacted"))
 
 
+def found_sql(rows: str, key: str, text: str) -> str:
+    """(key, rule_id, kind, type, severity, index, preview) of every match in rows, places by sums over what lies between matches."""
+    sides = [(r.id, "secret", r.type, r.severity, re2(s.pattern(r), r.flags), 1, 2, "TRUE") for r in s.RULES]
+    sides += [("email", "pii", "Email Address", "low", re2(s.EMAIL), None, 0, f"NOT regexp_matches(value, {quoted(re2(s.RESERVED, 'i'))})"), ("ssn", "pii", "Social Security Number", "high", re2(s.SSN), None, 0, "TRUE")]
+    sides += [("card", "pii", "Card Number", "high", re2(s.CARD), None, 0, f"(SELECT {_luhn} FROM (SELECT regexp_replace(value, '[ -]', '', 'g') AS d))")]
+    out = []
+    for i, kind, name, severity, p, label, value, cond in sides:
+        every = lambda g, p=p: f"regexp_extract_all({text}, {quoted(p)}, {g})"
+        labels = every(label) if label else f"list_transform({every(0)}, lambda x: '')"
+        cut = f"SELECT {key}, string_split_regex({text}, {quoted(p)}) AS pieces, {every(0)} AS wholes, {every(value)} AS vs, {labels} AS labels FROM {rows} WHERE regexp_matches({text}, {quoted(p)})"
+        at = "list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:k - 1], lambda x: length(x))), 0) + length(labels[k])"
+        out.append(f"SELECT {key}, {quoted(i)} AS rule_id, '{kind}' AS kind, {quoted(name)} AS type, '{severity}' AS severity, place::INT AS index, value FROM (SELECT {key}, {at} AS place, vs[k] AS value FROM (SELECT *, unnest(range(1, len(wholes) + 1)) AS k FROM ({cut}))) WHERE {cond}")
+    return f"SELECT * EXCLUDE (value), CASE WHEN length(value) >= 12 THEN substr(value, 1, 4) || '****' || right(value, 2) ELSE '****' END AS preview FROM ({' UNION ALL '.join(out)})"
+
+
 _sum = lambda cond: " + ".join(_n(r) for r in s.RULES if cond(r)) or "0"
 _kinds = " UNION ALL ".join([f"SELECT doc_id, '{r.id}' AS rule_id, {_n(r)} AS n FROM t" for r in s.RULES] + [f"SELECT doc_id, '{k}', {v} FROM t" for k, v in (("email", _mails), ("ssn", _ssn), ("card", _cards))])
-QUERIES = {f.__name__: f for f in (secrets_generic, pii_email, pii_card_luhn, pii_ssn, secrets_formats, redact_values, secret_verdict, scan_secrets_spans)}
+QUERIES = {f.__name__: f for f in (secrets_generic, pii_email, pii_card_luhn, pii_ssn, secrets_formats, secrets_findings, redact_values, secret_verdict, scan_secrets_spans)}
 SQL = {
     "secrets_generic": f"SELECT doc_id, {_n(s.RULES[-1])} AS n FROM documents WHERE {_n(s.RULES[-1])} > 0",
     "pii_email": f"SELECT doc_id, {_mails} AS n FROM {_T} WHERE {_mails} > 0",
     "pii_card_luhn": f"SELECT * FROM (SELECT doc_id, {_cards} AS n FROM {_T}) WHERE n > 0",
     "pii_ssn": f"SELECT doc_id, {_ssn} AS n FROM {_T} WHERE {_ssn} > 0",
     "secrets_formats": f"WITH t AS MATERIALIZED {_T} SELECT rule_id, count(*) AS docs, sum(n)::BIGINT AS n FROM ({_kinds}) WHERE n > 0 GROUP BY rule_id",
+    "secrets_findings": f"WITH t AS MATERIALIZED {_T} SELECT doc_id, rule_id, kind, severity, index, preview FROM ({found_sql('t', 'doc_id', 'text')})",
     "redact_values": f"SELECT doc_id, md5({_redacted()}) AS redacted_md5 FROM {_T}",
     "secret_verdict": f"""SELECT doc_id, secrets::INT AS secrets, pii::INT AS pii, secrets + pii > 0 AS found, CASE WHEN crit > 0 THEN 'block' WHEN secrets + pii > 0 THEN 'review' ELSE 'allow' END AS verdict
 FROM (SELECT doc_id, {_sum(lambda r: True)} AS secrets, {_sum(lambda r: r.severity == 'critical')} AS crit, {_mails} + {_ssn} + {_cards} AS pii FROM {_T})""",

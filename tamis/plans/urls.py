@@ -158,7 +158,7 @@ FROM ({_aged_sql}) a JOIN ({_scored(_s(ALL), 'final_url')}) b USING (id))""",
     "ip_private_v6": "SELECT * FROM (VALUES (1, '::1', TRUE), (2, 'fe80::1', TRUE), (3, '::ffff:10.0.0.1', TRUE), (4, '2001:4860:4860::8888', FALSE), (5, '64:ff9b::8.8.8.8', FALSE), (6, '64:ff9b::7f00:1', TRUE), (7, 'garbage', TRUE), (8, '8.8.8.8', FALSE), (9, 'ff02::1', TRUE), (10, '[fd00::2]', TRUE)) AS t(id, ip, private)",
     "ip_reversed": f"SELECT id, concat_ws('.', split_part(ip, '.', 4), split_part(ip, '.', 3), split_part(ip, '.', 2), split_part(ip, '.', 1)) AS reversed FROM ({_s(MADE_IPS)})",
     "host_argument": f"""SELECT id, CASE WHEN regexp_matches(h, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$') AND h <> '10.0.0.1' THEN h END AS host FROM (SELECT id, lower(regexp_replace(regexp_replace(given, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?', ''), '[:/?#].*$', '')) AS h
-FROM (SELECT id, CASE WHEN id % 4 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS given FROM ({_s(ALL)}) WHERE id % 2 = 0))""",
+FROM (SELECT id, CASE WHEN id % 4 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS given FROM ({_s(ALL)})))""",
     "ip_reputation": f"""SELECT id, private, (CASE WHEN private THEN 0 ELSE tor + bl + dc END)::INT AS score, CASE WHEN private THEN 'low-risk' WHEN tor + bl + dc >= 40 THEN 'high-risk' WHEN tor + bl + dc >= 15 THEN 'caution' ELSE 'low-risk' END AS verdict,
 CASE WHEN NOT private AND org IS NULL THEN 'asn' ELSE '' END AS skipped FROM (SELECT id, {_private} AS private, CASE WHEN t.ip IS NULL THEN 0 ELSE 35 END AS tor, CASE WHEN b.ip IS NULL THEN 0 ELSE 40 END AS bl, CASE WHEN regexp_matches(org, {quoted(urls.DATACENTER)}) THEN 10 ELSE 0 END AS dc, org
 FROM (SELECT *, {_num} AS n FROM ({_s(MADE_IPS)})) m LEFT JOIN ({_s(TOR)}) t USING (ip) LEFT JOIN ({_s(BLOCKED)}) b USING (ip) LEFT JOIN ({_s(ASN)}) o USING (ip))""",

@@ -112,7 +112,7 @@ SQL = {
  CASE WHEN regexp_extract(domain, 'd([0-9]+)', 1)::INT < 5 THEN 'CNAME' ELSE '' END AS skipped FROM ({_s(DNS)}) GROUP BY domain""",
     "rdap_age": "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(TIMESTAMP '2020-01-01 12:00:00' + to_days((c_custkey % 9)::INT))) / 86400000000)::BIGINT END AS age_days, floor((epoch_us(TIMESTAMP '2025-03-01' + to_days((c_custkey % 9)::INT)) - epoch_us(TIMESTAMP '2024-02-01')) / 86400000000)::BIGINT AS days_left, 'R' || c_custkey AS registrar, 'ns1.x,ns2.x' AS nameservers FROM customer",
     "cert_days": "SELECT o_orderkey AS id, floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-06-15 06:00:00')) / 86400000000)::BIGINT AS days_remaining, o_orderdate < TIMESTAMP '1995-06-15 06:00:00' AS expired, 2::INT AS names, 'a' || o_orderkey || '.org' AS first FROM orders",
-    "redirect_chain": "SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS hops, count(DISTINCT l_linenumber) - 1 AS followed FROM lineitem WHERE l_orderkey < 3000 AND l_orderkey % 2 = 0 GROUP BY 1",
+    "redirect_chain": "SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS hops, count(DISTINCT l_linenumber) - 1 AS followed FROM lineitem GROUP BY 1",
     "security_headers": "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'strict-transport-security,x-frame-options' ELSE 'strict-transport-security' END AS present, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 5 END::INT AS missing FROM customer",
     "shell_installs": f"SELECT id, manager, ecosystem, name, version FROM ({_sw([(1, 'npm', 'npm', 'express', '4'), (1, 'npm', 'npm', 'lodash', 'NULL'), (4, 'pip', 'pypi', 'requests', '2.31.0'), (7, 'pip3', 'pypi', 'flask', 'NULL'), (7, 'yarn', 'npm', '@babel/core', '7')])}) t(id, manager, ecosystem, name, version)",
     "shell_risky": f"SELECT id, rule_id FROM ({_sw([(0, 'cmd-remote-to-shell'), (2, 'cmd-decode-to-shell'), (5, 'cmd-remote-to-shell'), (8, 'cmd-remote-to-shell'), (9, 'cmd-unresolved-exec')])}) t(id, rule_id)",

@@ -27,13 +27,13 @@ def _code(df: DataFrame, source: str = "code", hint: str = "hint", key: str = "i
     return code.summarize(found, df.select(key), key).join(found.groupBy(key).agg(F.collect_list(F.struct("line", "rule_id", "category", "severity", "code")).alias("findings")), key, "left")
 
 
-def _diff(df: DataFrame, diff: str = "diff", key: str = "id") -> DataFrame:
-    found = code.match_lines(code.diff_lines(df, diff, key).withColumn("lang", F.lit("unknown")), key)
-    return code.summarize(found, df.select(key), key)
+def _diff(df: DataFrame, diff: str = "diff", key: str = "id", hint: str | None = None) -> DataFrame:
+    return code.summarize(code.diff_findings(df, diff, key, hint), df.select(key), key)
 
 
 def _catalog(df: DataFrame) -> DataFrame:
-    return code.rules(df.sparkSession).select("rule_id", "category", "severity", F.col("rule_lang").alias("lang"))
+    own = code.rules(df.sparkSession).select("rule_id", "category", "severity", F.col("rule_lang").alias("lang"))
+    return own.union(df.sparkSession.createDataFrame([("hardcoded-*", "hardcoded-secret", "critical", "any")], own.schema))
 
 
 def _url(df: DataFrame, url: str = "url", rdap: DataFrame | None = None, as_of: str = "1970-01-01") -> DataFrame:
