@@ -11,7 +11,7 @@ import binascii
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,10 +104,21 @@ def _half_up(c: Column) -> Column:
     return F.floor(c + 0.5).cast("int")
 
 
-def inbound(df: DataFrame, key: str, disposable: DataFrame, ages: DataFrame | None = None) -> DataFrame:
+def with_posture(df: DataFrame, domain: Column, posture: DataFrame | None) -> DataFrame:
+    """df with _no_mx and _blank (nothing in DNS at all) of a domain by domain_posture(); both null where it wasn't asked."""
+    if posture is None:
+        return df.withColumn("_no_mx", F.lit(None).cast("boolean")).withColumn("_blank", F.lit(None).cast("boolean"))
+    none = F.size("mx") == 0
+    p = posture.select(F.col("domain").alias("_d"), none.alias("_no_mx"), (none & ~F.col("spf") & F.col("dmarc_policy").isNull()).alias("_blank"))
+    return df.join(small(p), domain == F.col("_d"), "left").drop("_d")
+
+
+def inbound(df: DataFrame, key: str, disposable: DataFrame, ages: DataFrame | None = None, posture: DataFrame | None = None) -> DataFrame:
     """scan_inbound: df(from_addr, reply_addr, return_addr, auth_header, subject, body, html) with score, risk and verdict.
 
-    ages(domain, domain_age_days); without it the age is unknown, which is listed and never counts as old.
+    ages(domain, domain_age_days) and posture (of domain_posture); what isn't given or not in them is unknown, which is
+    listed and never counts as good. Where a message has no authentication results, a sender domain without SPF, DMARC
+    and MX counts, and is listed too, as a failed lookup looks the same.
     """
     df = sender_risk(df.withColumn("auth", auth_results(F.col("auth_header"))))
     text = F.array_join(F.filter(F.array("subject", "body", "html"), lambda x: x != ""), "\n")
@@ -122,30 +133,41 @@ def inbound(df: DataFrame, key: str, disposable: DataFrame, ages: DataFrame | No
         df = df.join(small(ages.select(F.col("domain").alias("_d"), "domain_age_days")), F.col("from_addr.domain") == F.col("_d"), "left").drop("_d")
     add = lambda c, w: F.when(c, w).otherwise(0)
     auth = add(F.col("auth.dmarc") == "fail", 30) + add(F.col("auth.spf").isin("fail", "hardfail", "softfail"), 18) + add(F.col("auth.dkim") == "fail", 14)
-    total = F.col("injection_score") + auth + F.least(F.lit(40), _half_up(F.col("sender_score") * 0.6)) + add(F.col("disposable"), 15) + add(F.col("domain_age_days") < 30, 15) + F.least(F.lit(25), _half_up(F.col("max_link") * 0.3))
+    df = with_posture(df, F.col("from_addr.domain"), posture)
+    asked = F.col("auth.spf").isNull() & F.col("auth.dkim").isNull() & F.col("auth.dmarc").isNull()
+    total = F.col("injection_score") + auth + add(asked & F.col("_blank"), 12) + F.least(F.lit(40), _half_up(F.col("sender_score") * 0.6)) + add(F.col("disposable"), 15) + add(F.col("domain_age_days") < 30, 15) + F.least(F.lit(25), _half_up(F.col("max_link") * 0.3))
     df = df.withColumn("score", F.least(F.lit(100), total).cast("int"))
-    return df.withColumn("risk", _risk(F.col("score"))).withColumn("verdict", verdicts.by_score(F.col("score"), (50, "block"), (25, "review"), default="allow")).withColumn("checks_skipped", verdicts.skipped(domain_age=F.col("domain_age_days")))
+    return df.withColumn("risk", _risk(F.col("score"))).withColumn("verdict", verdicts.by_score(F.col("score"), (50, "block"), (25, "review"), default="allow")).withColumn("checks_skipped", F.concat(verdicts.skipped(domain_age=F.col("domain_age_days")), F.when(asked & F.coalesce("_blank", F.lit(True)), F.array(F.lit("sender-domain-dns"))).otherwise(F.array().cast("array<string>")))).drop("_no_mx", "_blank")
 
 
-def outbound(df: DataFrame, key: str, disposable: DataFrame) -> DataFrame:
-    """scan_outbound: df(to_addr, subject, body, html, list_unsubscribe) with leak, score, risk, verdict and redacted."""
+def outbound(df: DataFrame, key: str, disposable: DataFrame, posture: DataFrame | None = None) -> DataFrame:
+    """scan_outbound: df(to_addr, subject, body, html, list_unsubscribe) with leak, recipient_flags, score, risk, verdict and redacted.
+
+    posture (of domain_posture) tells whether the recipient's domain takes mail; where it wasn't asked, that is skipped.
+    """
     df = deliverability(df)
     text = F.array_join(F.filter(F.array("subject", "body", "html"), lambda x: x != ""), "\n")
     df = secrets.scan(df.withColumn("combined", text), "combined").withColumnRenamed("verdict", "leak")
     df = df.join(link_score(df, key), key)
     d = small(disposable.select(F.col("domain").alias("_d"), F.lit(True).alias("disposable")).distinct())
     df = df.join(d, F.col("to_addr.domain") == F.col("_d"), "left").drop("_d").withColumn("disposable", F.coalesce("disposable", F.lit(False)))
-    total = F.when(F.col("leak") == "block", 60).when(F.col("leak") == "review", 25).otherwise(0) + F.least(F.lit(40), F.col("deliver_score")) + F.when(F.col("disposable"), 12).otherwise(0) + F.least(F.lit(20), _half_up(F.col("max_link") * 0.25))
+    df = with_posture(df, F.col("to_addr.domain"), posture)
+    no_mx = F.coalesce("_no_mx", F.lit(False))
+    df = df.withColumn("recipient_flags", F.filter(F.array(F.when(no_mx, "recipient-no-mx"), F.when(F.col("disposable"), "recipient-disposable")), lambda x: x.isNotNull()))
+    df = df.withColumn("checks_skipped", F.when((F.col("to_addr.domain") != "") & F.col("_no_mx").isNull(), F.array(F.lit("recipient-mx"))).otherwise(F.array().cast("array<string>")))
+    recipient = F.when(no_mx, 25).otherwise(0) + F.when(F.col("disposable"), 12).otherwise(0)
+    total = F.when(F.col("leak") == "block", 60).when(F.col("leak") == "review", 25).otherwise(0) + F.least(F.lit(40), F.col("deliver_score")) + recipient + F.least(F.lit(20), _half_up(F.col("max_link") * 0.25))
     df = df.withColumn("score", F.least(F.lit(100), total).cast("int")).withColumn("risk", _risk(F.col("score")))
-    return df.withColumn("verdict", F.when(F.col("leak") == "block", "block").otherwise(verdicts.by_score(F.col("score"), (50, "block"), (25, "review"), default="allow"))).withColumn("redacted", F.substring("redacted", 1, 2000))
+    return df.withColumn("verdict", F.when(F.col("leak") == "block", "block").otherwise(verdicts.by_score(F.col("score"), (50, "block"), (25, "review"), default="allow"))).withColumn("redacted", F.substring("redacted", 1, 2000)).drop("_no_mx", "_blank")
 
 
 def domain_posture(domains: DataFrame, dns: DataFrame) -> DataFrame:
     """(domain, spf, spf_qualifier, dmarc_policy, mx, posture, notes) from dns(domain, type, value, priority)."""
+    dns = dns.withColumn("_place", F.row_number().over(Window.partitionBy("domain", "type").orderBy("priority", "value")))
     flat = dns.groupBy("domain").agg(
         F.min(F.when((F.col("type") == "TXT") & F.rlike("value", F.lit("(?i)^v=spf1")), F.col("value"))).alias("spf_record"),
         F.min(F.when((F.col("type") == "DMARC") & F.rlike("value", F.lit("(?i)v=DMARC1")), F.col("value"))).alias("dmarc_record"),
-        F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == "MX", F.struct("priority", "value")))), lambda x: x["value"]), 1, 5).alias("mx"),
+        F.transform(F.sort_array(F.collect_list(F.when((F.col("type") == "MX") & (F.col("_place") <= 5), F.struct("priority", "value")))), lambda x: x["value"]).alias("mx"),
     )
     d = domains.join(flat, "domain", "left").withColumn("mx", F.coalesce("mx", F.array().cast("array<string>")))
     policy = F.when(F.col("dmarc_record").isNotNull(), F.coalesce(F.nullif(F.lower(F.regexp_extract("dmarc_record", java(r"\bp\s*=\s*(none|quarantine|reject)", "i"), 1)), F.lit("")), F.lit("none")))

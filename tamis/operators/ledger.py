@@ -16,8 +16,9 @@ def sanitize(text: Column, most: int = 120) -> Column:
 
 
 def record(events: DataFrame) -> DataFrame:
-    """Only the ledger's fields, with their lengths bounded: rules and skipped to 12 entries."""
-    return events.select("ts", sanitize(F.col("event"), 40).alias("event"), sanitize(F.col("verdict"), 20).alias("verdict"), sanitize(F.col("action"), 20).alias("action"), sanitize(F.col("subject")).alias("subject"), F.slice("rules", 1, 12).alias("rules"), F.slice("skipped", 1, 12).alias("skipped"))
+    """Only the ledger's fields, with their lengths bounded: rules and skipped to 12 entries. Engine, source, findings and ms may be there."""
+    more = [sanitize(F.col(c), 40).alias(c) for c in ("engine", "source") if c in events.columns] + [F.col(c) for c in ("findings", "ms") if c in events.columns]
+    return events.select("ts", sanitize(F.col("event"), 40).alias("event"), sanitize(F.col("verdict"), 20).alias("verdict"), sanitize(F.col("action"), 20).alias("action"), sanitize(F.col("subject")).alias("subject"), F.slice("rules", 1, 12).alias("rules"), F.slice("skipped", 1, 12).alias("skipped"), *more)
 
 
 def caught() -> Column:
@@ -107,9 +108,13 @@ def stale(sources: DataFrame, as_of: str, most: int = 7) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """(n, fingerprint): a digest of contents that doesn't depend on their order."""
-    h = F.sha2(F.concat_ws("\x1f", *columns), 256)
-    return rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(h)), ""), 256).alias("fingerprint"))
+    """(n, fingerprint): a digest of contents that doesn't depend on their order: of the sums of eight parts of rows' hashes.
+
+    Sums are made before the shuffle and nothing is collected. For up to 2**31 rows.
+    """
+    d = rows.select(F.sha2(F.concat_ws("\x1f", *columns), 256).alias("h"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("long")), F.lit(0)).alias(f"s{k}") for k in range(8)]
+    return d.agg(F.count("*").alias("n"), *parts).select("n", F.sha2(F.concat_ws(":", "n", *(f"s{k}" for k in range(8))), 256).alias("fingerprint"))
 
 
 def popular_names(ranked: DataFrame, most: int = 3000) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import compare_versions
+
 from ..functions import verdicts
 from ..functions.frames import small
 
@@ -152,35 +154,53 @@ def malicious(df: DataFrame, listed: DataFrame | None) -> DataFrame:
     return df.withColumn("list_verdict", v).drop("_known", "_versions")
 
 
-def verify(df: DataFrame, registry: DataFrame, osv: DataFrame | None) -> DataFrame:
-    """df(ecosystem, name) with exists, slopsquat, vulns, malicious and verdict.
+def advised(df: DataFrame, osv: DataFrame | None, most: int = 5) -> DataFrame:
+    """df(ecosystem, name and perhaps version) with vulns, malicious and advisories (id and first fixed version, `most` of them).
 
-    registry(ecosystem, name, exists, age_days, weekly_downloads, deprecated, confusable); a package without a
-    row was not looked up, and its verdict is unknown. osv(ecosystem, name, id): None means not checked.
+    osv(ecosystem, name, id) and perhaps introduced and fixed: where df has a version, only advisories that apply to it
+    count. None means not checked: all three are null.
     """
-    df = df.join(registry, ["ecosystem", "name"], "left")
     if osv is None:
-        df = df.withColumn("vulns", F.lit(None).cast("long")).withColumn("malicious", F.lit(None).cast("boolean"))
-    else:
-        bad = F.col("id").startswith("MAL-") | F.upper("id").contains("MALWARE")
-        v = osv.groupBy("ecosystem", "name").agg(F.count("*").alias("vulns"), F.max(bad).alias("malicious"))
-        df = df.join(v, ["ecosystem", "name"], "left").withColumn("vulns", F.coalesce("vulns", F.lit(0).cast("long"))).withColumn("malicious", F.coalesce("malicious", F.lit(False)))
+        return df.withColumns({"vulns": F.lit(None).cast("long"), "malicious": F.lit(None).cast("boolean"), "advisories": F.lit(None).cast("array<struct<id:string,fixed:string>>")})
+    of = [F.col(c).alias(f"_{c}") if c in df.columns else F.lit(None).cast("string").alias(f"_{c}") for c in ("ecosystem", "name", "version")]
+    wanted = df.select(*of).distinct()
+    text = lambda c: (F.col(c) if c in osv.columns else F.lit(None)).cast("string")
+    o = osv.select(F.col("ecosystem").alias("_ecosystem"), F.col("name").alias("_name"), F.col("id").alias("_id"), text("introduced").alias("_from"), text("fixed").alias("_fixed"))
+    apply = lambda c, least, cond: F.col("_version").isNull() | F.col(c).isNull() | cond(compare_versions(F.col("_version"), F.col(c)))
+    hit = wanted.join(o, ["_ecosystem", "_name"]).where(apply("_from", 0, lambda x: x >= 0) & apply("_fixed", 0, lambda x: x < 0))
+    place = F.row_number().over(Window.partitionBy("_ecosystem", "_name", "_version").orderBy("_id", "_fixed"))
+    bad = F.col("_id").startswith("MAL-") | F.upper("_id").contains("MALWARE")
+    few = F.sort_array(F.collect_list(F.when(F.col("_n") <= most, F.struct(F.col("_id").alias("id"), F.col("_fixed").alias("fixed")))))
+    v = hit.withColumn("_n", place).groupBy("_ecosystem", "_name", "_version").agg(F.count("*").alias("vulns"), F.max(bad).alias("malicious"), few.alias("advisories"))
+    at = F.col("ecosystem").eqNullSafe(F.col("_ecosystem")) & F.col("name").eqNullSafe(F.col("_name")) & (F.col("version") if "version" in df.columns else F.lit(None).cast("string")).eqNullSafe(F.col("_version"))
+    out = df.join(v, at, "left").drop("_ecosystem", "_name", "_version")
+    return out.withColumns({"vulns": F.coalesce("vulns", F.lit(0).cast("long")), "malicious": F.coalesce("malicious", F.lit(False)), "advisories": F.coalesce("advisories", F.array().cast("array<struct<id:string,fixed:string>>"))})
+
+
+def verify(df: DataFrame, registry: DataFrame, osv: DataFrame | None, listed: DataFrame | None = None) -> DataFrame:
+    """df(ecosystem, name and perhaps version) with exists, slopsquat, vulns, malicious, limited and verdict.
+
+    registry(ecosystem, name, exists, age_days, weekly_downloads, deprecated, confusable); a package without a
+    row was not looked up, and its verdict is unknown. osv as in advised(); None means not checked. listed: the list of
+    malicious packages (malicious()), whose verdict counts where it is given. Ecosystems that have no registry of their
+    own here are limited, and never more than caution: what a registry says is about another package of that name.
+    """
+    df = advised(df.join(registry, ["ecosystem", "name"], "left"), osv)
+    df = malicious(df if "version" in df.columns else df.withColumn("version", F.lit(None).cast("string")), listed)
     signals = F.when(F.col("age_days") < 90, 1).otherwise(0) + F.when(F.col("weekly_downloads") < 50, 1).otherwise(0)
     signals = signals + F.when(F.col("confusable").isNotNull() & (signals > 0), 1).otherwise(0)
     df = df.withColumn("slopsquat", F.when((signals >= 2) & F.col("confusable").isNotNull(), "high").when(signals >= 1, "medium").otherwise("low"))
-    care = (F.coalesce(F.col("vulns") > 0, F.lit(True))) | F.coalesce("deprecated", F.lit(False)) | (F.col("slopsquat") == "medium")
-    v = F.when(F.col("exists").isNull(), "unknown").when(~F.col("exists"), "danger").when(F.coalesce("malicious", F.lit(False)) | (F.col("slopsquat") == "high"), "danger").when(care, "caution").otherwise("safe")
+    df = df.withColumn("limited", ~F.col("ecosystem").isin("npm", "pypi"))
+    care = (F.coalesce(F.col("vulns") > 0, F.lit(True))) | F.coalesce("deprecated", F.lit(False)) | (F.col("slopsquat") == "medium") | F.col("limited") | F.coalesce(F.col("list_verdict") == "caution", F.lit(False))
+    bad = F.coalesce("malicious", F.lit(False)) | F.coalesce(F.col("list_verdict") == "malicious", F.lit(False)) | (F.col("slopsquat") == "high")
+    v = F.when(F.coalesce(F.col("list_verdict") == "malicious", F.lit(False)), "danger").when(F.col("exists").isNull(), "unknown").when(~F.col("exists"), "danger").when(bad, "danger").when(care, "caution").otherwise("safe")
     return df.withColumn("verdict", v)
 
 
 def vulnerabilities(df: DataFrame, osv: DataFrame | None) -> DataFrame:
-    """df(ecosystem, name) with count, malicious and ids (five at most); all null where there is no osv table."""
-    if osv is None:
-        return df.withColumns({"count": F.lit(None).cast("long"), "malicious": F.lit(None).cast("boolean"), "ids": F.lit(None).cast("array<string>")})
-    bad = F.col("_osv").startswith("MAL-") | F.upper("_osv").contains("MALWARE")
-    v = osv.withColumnRenamed("id", "_osv").groupBy("ecosystem", "name").agg(F.count("*").alias("count"), F.max(bad).alias("malicious"), F.slice(F.sort_array(F.collect_set("_osv")), 1, 5).alias("ids"))
-    out = df.join(v, ["ecosystem", "name"], "left")
-    return out.withColumns({"count": F.coalesce("count", F.lit(0).cast("long")), "malicious": F.coalesce("malicious", F.lit(False)), "ids": F.coalesce("ids", F.array().cast("array<string>"))})
+    """df(ecosystem, name and perhaps version) with count, malicious, advisories and ids (five at most); all null where there is no osv table."""
+    out = advised(df, osv).withColumnRenamed("vulns", "count")
+    return out.withColumn("ids", F.transform("advisories", lambda a: a["id"]))
 
 
 def info(df: DataFrame, registry: DataFrame) -> DataFrame:
@@ -188,6 +208,31 @@ def info(df: DataFrame, registry: DataFrame) -> DataFrame:
     return df.join(registry, ["ecosystem", "name"], "left")
 
 
+def merged_dependencies(df: DataFrame, given: str | None = None, manifest: str | None = None, requirement_lines: str | None = None, packages: str | None = None) -> DataFrame:
+    """df with dependencies (array<struct<name, version>>) and input_errors, from columns of four kinds that may be null.
+
+    given (map), then package.json's dependencies and devDependencies, then requirement lines: later ones win. packages
+    (array) adds names that aren't there yet, without a version. A manifest that isn't JSON is an error, not an empty one.
+    """
+    pair = "array<struct<name:string,version:string>>"
+    none = F.array().cast(pair)
+    pairs = lambda m: F.coalesce(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("name"), F.coalesce(e["value"], F.lit("")).alias("version"))), none)
+    text = F.nullif(F.trim(F.coalesce(F.col(manifest), F.lit(""))), F.lit("")) if manifest else F.lit(None).cast("string")
+    read = F.from_json(text, "struct<dependencies:map<string,string>,devDependencies:map<string,string>>")
+    df = df.withColumn("_read", read)
+    parts = [pairs(F.col(given))] * bool(given) + [pairs(F.col("_read.dependencies")), pairs(F.col("_read.devDependencies"))]
+    parts += [F.coalesce(requirements(F.col(requirement_lines)), none)] * bool(requirement_lines)
+    df = df.withColumn("_all", F.concat(*parts))
+    names = F.array_distinct(F.transform("_all", lambda x: x["name"]))
+    own = F.transform(names, lambda n: F.struct(n.alias("name"), F.element_at(F.filter("_all", lambda x: x["name"] == n), -1)["version"].alias("version")))
+    if packages:
+        listed = F.array_distinct(F.filter(F.transform(F.coalesce(F.col(packages), F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: n != ""))
+        own = F.concat(own, F.transform(F.array_except(listed, names), lambda n: F.struct(n.alias("name"), F.lit("").alias("version"))))
+    wrong = text.isNotNull() & F.try_parse_json(text).isNull()
+    errors = F.when(wrong, F.array(F.lit("manifest is not JSON"))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("dependencies", own.cast(pair)).withColumn("input_errors", errors).drop("_read", "_all")
+
+
 def audit(df: DataFrame, registry: DataFrame, osv: DataFrame | None, most: int | None = 40, key: str = "project") -> DataFrame:
     """verify() for the first `most` dependencies of each project(key, position); None takes all."""
     if most is not None:

@@ -47,11 +47,12 @@ def deliverability(spark, sf):
 
 
 def inbound_score(spark, sf):
-    return em.inbound(_mails(spark, sf), "id", em.disposable_domains(spark), spark.sql(AGES)).select("id", "score", "risk", "verdict", F.array_join("checks_skipped", ",").alias("skipped"))
+    return em.inbound(_mails(spark, sf), "id", em.disposable_domains(spark), spark.sql(AGES), em.domain_posture(spark.sql(DOMAINS), spark.sql(DNS))).select("id", "score", "risk", "verdict", F.array_join("checks_skipped", ",").alias("skipped"))
 
 
 def outbound_score(spark, sf):
-    return em.outbound(_mails(spark, sf), "id", em.disposable_domains(spark)).select("id", "leak", "score", "risk", "verdict")
+    out = em.outbound(_mails(spark, sf), "id", em.disposable_domains(spark), em.domain_posture(spark.sql(DOMAINS), spark.sql(DNS)))
+    return out.select("id", "leak", F.array_join("recipient_flags", ",").alias("flags"), F.array_join("checks_skipped", ",").alias("skipped"), "score", "risk", "verdict")
 
 
 def domain_posture(spark, sf):
@@ -108,6 +109,8 @@ _risk = "CASE WHEN score >= 60 THEN 'critical' WHEN score >= 35 THEN 'high' WHEN
 _leak_n = lambda cond: "(" + " + ".join(f"len(regexp_extract_all(txt, {quoted(re2(secrets.s.pattern(r), r.flags))}))" for r in secrets.s.RULES if cond(r)) + ")"
 _mails_n = secrets._mails.replace("(text,", "(txt,")
 _leak = f"CASE WHEN {_leak_n(lambda r: r.severity == 'critical')} > 0 THEN 'block' WHEN {_leak_n(lambda r: True)} + {_mails_n} > 0 THEN 'review' ELSE 'allow' END"
+_unasked = f"({_auth('spf')} IS NULL AND {_auth('dkim')} IS NULL AND {_auth('dmarc')} IS NULL)"
+_posture = f"SELECT domain, coalesce(mx, 0) = 0 AS no_mx, coalesce(mx + n, 0) = 0 AS blank FROM ({DOMAINS}) LEFT JOIN (SELECT domain, count(*) FILTER (type = 'MX') AS mx, count(*) FILTER (type = 'TXT' AND regexp_matches(value, '(?i)^v=spf1') OR type = 'DMARC' AND regexp_matches(value, '(?i)v=DMARC1')) AS n FROM ({DNS}) GROUP BY domain) USING (domain)"
 QUERIES = {f.__name__: f for f in (email_address_parse, auth_results, sender_risk, deliverability, inbound_score, outbound_score, domain_posture, validate_email, email_mime_decode)}
 SQL = {
     "email_mime_decode": "SELECT c_custkey AS id, c_name AS subject, 'Ignore all previous instructions ' || c_name AS body, '<b>caf' || chr(195) || chr(169) || '</b>' AS html FROM customer",  # =HH is one Latin-1 character
@@ -115,11 +118,11 @@ SQL = {
     "auth_results": f"SELECT id, {_auth('spf')} AS spf, {_auth('dkim')} AS dkim, {_auth('dmarc')} AS dmarc FROM ({_s(MAILS)})",
     "sender_risk": f"SELECT id, {_ids(_SENDER)} AS flags, ({_total(_SENDER)})::INT AS score FROM ({_m})",
     "deliverability": f"SELECT id, array_to_string(words, ',') AS words, len(links) AS links, {_ids(_DELIVER)} AS flags, ({_total(_DELIVER)})::INT AS score FROM ({_t2})",
-    "inbound_score": f"""SELECT id, score, {_risk}, CASE WHEN score >= 50 THEN 'block' WHEN score >= 25 THEN 'review' ELSE 'allow' END AS verdict, skipped FROM (SELECT id, least(100, {_inj} + CASE WHEN {_auth('dmarc')} = 'fail' THEN 30 ELSE 0 END + CASE WHEN {_auth('spf')} IN ('fail', 'hardfail', 'softfail') THEN 18 ELSE 0 END + CASE WHEN {_auth('dkim')} = 'fail' THEN 14 ELSE 0 END
- + least(40, floor({_total(_SENDER)} * 0.6::DOUBLE + 0.5)) + CASE WHEN {_dom} IN {_disp} THEN 15 ELSE 0 END + CASE WHEN domain_age_days < 30 THEN 15 ELSE 0 END + least(25, floor(max_link * 0.3::DOUBLE + 0.5)))::INT AS score, CASE WHEN domain_age_days IS NULL THEN 'domain_age' ELSE '' END AS skipped
-FROM ({_t2}) x JOIN ({_link}) y USING (id) LEFT JOIN ({AGES}) a ON a.domain = {_dom})""",
-    "outbound_score": f"""SELECT id, leak, score, {_risk}, CASE WHEN leak = 'block' OR score >= 50 THEN 'block' WHEN score >= 25 THEN 'review' ELSE 'allow' END AS verdict FROM (SELECT id, leak, least(100, CASE leak WHEN 'block' THEN 60 WHEN 'review' THEN 25 ELSE 0 END + least(40, {_total(_DELIVER)}) + CASE WHEN to_addr.domain IN {_disp} THEN 12 ELSE 0 END + least(20, floor(max_link * 0.25::DOUBLE + 0.5)))::INT AS score
-FROM (SELECT *, {_leak} AS leak FROM ({_t2})) x JOIN ({_link}) y USING (id))""",
+    "inbound_score": f"""SELECT id, score, {_risk}, CASE WHEN score >= 50 THEN 'block' WHEN score >= 25 THEN 'review' ELSE 'allow' END AS verdict, skipped FROM (SELECT id, least(100, {_inj} + CASE WHEN {_auth('dmarc')} = 'fail' THEN 30 ELSE 0 END + CASE WHEN {_auth('spf')} IN ('fail', 'hardfail', 'softfail') THEN 18 ELSE 0 END + CASE WHEN {_auth('dkim')} = 'fail' THEN 14 ELSE 0 END + CASE WHEN {_unasked} AND blank THEN 12 ELSE 0 END
+ + least(40, floor({_total(_SENDER)} * 0.6::DOUBLE + 0.5)) + CASE WHEN {_dom} IN {_disp} THEN 15 ELSE 0 END + CASE WHEN domain_age_days < 30 THEN 15 ELSE 0 END + least(25, floor(max_link * 0.3::DOUBLE + 0.5)))::INT AS score, concat_ws(',', CASE WHEN domain_age_days IS NULL THEN 'domain_age' END, CASE WHEN {_unasked} AND coalesce(blank, TRUE) THEN 'sender-domain-dns' END) AS skipped
+FROM ({_t2}) x JOIN ({_link}) y USING (id) LEFT JOIN ({AGES}) a ON a.domain = {_dom} LEFT JOIN ({_posture}) o ON o.domain = {_dom})""",
+    "outbound_score": f"""SELECT id, leak, flags, skipped, score, {_risk}, CASE WHEN leak = 'block' OR score >= 50 THEN 'block' WHEN score >= 25 THEN 'review' ELSE 'allow' END AS verdict FROM (SELECT id, leak, concat_ws(',', CASE WHEN no_mx THEN 'recipient-no-mx' END, CASE WHEN to_addr.domain IN {_disp} THEN 'recipient-disposable' END) AS flags, CASE WHEN to_addr.domain <> '' AND no_mx IS NULL THEN 'recipient-mx' ELSE '' END AS skipped, least(100, CASE leak WHEN 'block' THEN 60 WHEN 'review' THEN 25 ELSE 0 END + least(40, {_total(_DELIVER)}) + CASE WHEN to_addr.domain IN {_disp} THEN 12 ELSE 0 END + CASE WHEN no_mx THEN 25 ELSE 0 END + least(20, floor(max_link * 0.25::DOUBLE + 0.5)))::INT AS score
+FROM (SELECT *, {_leak} AS leak FROM ({_t2})) x JOIN ({_link}) y USING (id) LEFT JOIN ({_posture}) o ON o.domain = to_addr.domain)""",
     "domain_posture": f"""SELECT domain, spf IS NOT NULL AS spf, nullif(regexp_extract(spf, '([-~?+])all', 1), '') AS spf_qualifier, p AS dmarc_policy, coalesce(mx, '') AS mx, CASE WHEN spf IS NULL OR p IS NULL OR p = 'none' THEN 'weak' ELSE 'enforced' END AS posture,
  concat_ws(',', CASE WHEN spf IS NULL THEN 'no SPF' END, CASE WHEN p IS NULL THEN 'no DMARC' WHEN p = 'none' THEN 'DMARC not enforced' END, CASE WHEN mx IS NULL THEN 'no MX' END) AS notes FROM (SELECT *, CASE WHEN dm IS NOT NULL THEN coalesce(nullif(lower(regexp_extract(dm, '(?i)\\bp\\s*=\\s*(none|quarantine|reject)', 1)), ''), 'none') END AS p
 FROM ({DOMAINS}) LEFT JOIN (SELECT domain, min(value) FILTER (type = 'TXT' AND regexp_matches(value, '(?i)^v=spf1')) AS spf, min(value) FILTER (type = 'DMARC' AND regexp_matches(value, '(?i)v=DMARC1')) AS dm, string_agg(value, ',' ORDER BY priority) FILTER (type = 'MX') AS mx FROM ({DNS}) GROUP BY domain) USING (domain))""",

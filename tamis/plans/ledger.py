@@ -65,9 +65,12 @@ def worst_verdict(spark, sf):
     return d.withColumn("a", pick(1)).withColumn("b", pick(3)).select("id", verdicts.worst(F.col("a"), F.col("b")).alias("worst"))
 
 
+GATES = (("danger", "verdict = 'caution'"), ("warn", "verdict = 'caution'"), ("danger", "verdict = 'block'"), ("low", "verdict = 'safe'"), ("warn", "id % 7 > 2"), ("danger", "action = 'blocked'"))
+
+
 def fail_on_gate(spark, sf):
     led = _ledger(spark, sf)
-    each = [lg.gate(led.where(c), level).withColumn("gate", F.lit(f"{level} {c}")) for level, c in (("danger", "verdict = 'caution'"), ("warn", "verdict = 'caution'"), ("danger", "verdict = 'block'"), ("low", "verdict = 'safe'"))]
+    each = [lg.gate(led.where(c), level).withColumn("gate", F.lit(f"{level} {c}")) for level, c in GATES]
     out = each[0]
     for e in each[1:]:
         out = out.union(e)
@@ -81,11 +84,12 @@ def corpus_report(spark, sf):
     return lg.corpus_report(run(spark, sf, CASES))
 
 
-VERSIONS = "SELECT a, b FROM (VALUES ('2026.08.22', '2026.08.22.1'), ('2026.08.22', '2026.8.22'), ('2025.12.31.9', '2026.01.01'), ('2026.10.01', '2026.09.30.5')) AS t(a, b)"
+_dated = lambda k, m: f"CAST(2020 + {k} % 3 AS STRING) || '.0' || CAST({k} % {m} + 1 AS STRING) || '.' || CAST({k} % 5 + 8 AS STRING) || CASE WHEN {k} % 4 = 0 THEN '.' || CAST({k} % 13 AS STRING) ELSE '' END"
+VERSIONS = f"SELECT DISTINCT {_dated('l_suppkey', 4)} AS a, {_dated('l_linenumber', 6)} AS b FROM {{lineitem}}"
 
 
 def version_compare(spark, sf):
-    return spark.sql(VERSIONS).select("a", "b", lg.compare_versions(F.col("a"), F.col("b")).alias("order"))
+    return run(spark, sf, VERSIONS).select("a", "b", lg.compare_versions(F.col("a"), F.col("b")).alias("order"))
 
 
 SOURCES = "SELECT id, ok, fetched FROM (VALUES ('ofac', true, TIMESTAMP '2024-01-20 00:00:00'), ('scam', false, TIMESTAMP '2024-01-31 00:00:00'), ('osv', true, TIMESTAMP '2024-01-25 00:00:01'), ('never', true, CAST(NULL AS TIMESTAMP))) AS t(id, ok, fetched)"
@@ -132,6 +136,7 @@ _CAUGHT = "verdict IN ('danger', 'block', 'caution', 'review', 'warn')"
 _W = "{" + ", ".join(f"'{k}': {v}" for k, v in verdicts.WORST.items()) + "}"
 _names = "[" + ", ".join(map(quoted, verdicts.WORST)) + "]"
 _rank = lambda c: "CASE " + " ".join(f"WHEN {c} = '{k}' THEN {v}" for k, v in verdicts.WORST.items()) + " END"
+_parts = lambda c: f"list_resize(list_transform(string_split({c}, '.'), lambda p: p::INT), 4, 0)"
 _rep = "count(*) FILTER (expect <> 'quiet') AS attacks, count(*) FILTER (expect <> 'quiet' AND detected) AS caught, count(*) FILTER (expect = 'quiet') AS quiet, count(*) FILTER (expect = 'quiet' AND detected) AS false_positives, floor(count(*) FILTER (expect <> 'quiet' AND detected) * 100 / nullif(count(*) FILTER (expect <> 'quiet'), 0) + 0.5)::INT AS rate"
 QUERIES = {f.__name__: f for f in (ledger_stats, ledger_by_rule, ledger_by_verdict, ledger_caught_topk, ledger_window, ledger_window_sliding, ledger_sanitized, cache_latest, cache_evict, worst_verdict, fail_on_gate, corpus_report, version_compare, stale_sources, malicious_build, list_carry_forward, list_fingerprint, popular_list_build, bundle_validate)}
 SQL = {
@@ -145,13 +150,13 @@ SQL = {
     "cache_latest": f"SELECT key, arg_max(verdict, (\"at\", id)) AS verdict FROM ({_s(CHECKS)}) GROUP BY key",
     "cache_evict": f"SELECT key FROM (SELECT key, max(\"at\") AS a FROM ({_s(CHECKS)}) GROUP BY key) ORDER BY a DESC, key LIMIT 40",
     "worst_verdict": f"SELECT id, CASE WHEN {_rank('b')} > {_rank('a')} THEN b ELSE a END AS worst FROM (SELECT p_partkey AS id, {_names}[p_partkey % 10 + 1] AS a, {_names}[(p_partkey // 3) % 10 + 1] AS b FROM part)",
-    "fail_on_gate": "SELECT * FROM (VALUES ('danger verdict = ''caution''', 0), ('warn verdict = ''caution''', 1), ('danger verdict = ''block''', 1), ('low verdict = ''safe''', 0)) AS t(gate, exit_code)",
+    "fail_on_gate": " UNION ALL ".join(f"SELECT {quoted(f'{level} {c}')} AS gate, max(CASE WHEN [{', '.join(str(v) for v in verdicts.LEVEL.values())}][list_position([{', '.join(map(quoted, verdicts.LEVEL))}], verdict)] >= {verdicts.LEVEL[level]} THEN 1 ELSE 0 END)::INT AS exit_code FROM {_L} WHERE {c}" for level, c in GATES),
     "corpus_report": f"SELECT category, {_rep} FROM ({plain(CASES)}) GROUP BY category UNION ALL SELECT 'all', {_rep} FROM ({plain(CASES)})",
     "bundle_validate": "SELECT * FROM (VALUES ('good', ''), ('schema', 'schema is not 1'), ('twice', 'injection/a-rule: twice'), ('slow', 'injection/a: could run for ever'), ('group', 'bad version;pii/a-rule: no such group'), ('empty', 'code: empty')) AS t(bundle, errors)",
-    "version_compare": "SELECT * FROM (VALUES ('2026.08.22', '2026.08.22.1', -1), ('2026.08.22', '2026.8.22', 0), ('2025.12.31.9', '2026.01.01', -1), ('2026.10.01', '2026.09.30.5', 1)) AS t(a, b, \"order\")",
+    "version_compare": f"SELECT a, b, CASE WHEN x > y THEN 1 WHEN x < y THEN -1 ELSE 0 END AS \"order\" FROM (SELECT *, {_parts('a')} AS x, {_parts('b')} AS y FROM ({_s(VERSIONS)}))",
     "stale_sources": f"SELECT id, floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(fetched)) / 86400000000)::BIGINT AS age_days, NOT ok OR coalesce(floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(fetched)) / 86400000000) > 7, TRUE) AS stale FROM ({SOURCES})",
     "malicious_build": f"SELECT ecosystem, name, CASE WHEN NOT bool_or(version IS NULL) THEN array_to_string(list_sort(list_distinct(list(version))), ',') END AS versions, min(id) AS advisory FROM ({_s(ADVISORIES)}) WHERE starts_with(id, 'MAL-') AND NOT withdrawn GROUP BY ALL",
     "list_carry_forward": f"SELECT list, count(*) AS n FROM ({payments._s(payments.LISTS)}) WHERE list IN ('ETH', 'BSC') OR trim(address) < '0x8' GROUP BY list",
-    "list_fingerprint": f"SELECT count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(list || chr(31) || address) AS h FROM ({payments._s(payments.LISTS)}))",
+    "list_fingerprint": f"SELECT count(*) AS n, sha256(concat_ws(':', count(*), {', '.join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)" for k in range(8))})) AS fingerprint FROM (SELECT sha256(list || chr(31) || address) AS h FROM ({payments._s(payments.LISTS)}))",
     "popular_list_build": "SELECT ecosystem, name, rank::INT AS rank FROM (SELECT ecosystem, name, row_number() OVER (PARTITION BY ecosystem ORDER BY r, name) AS rank FROM (SELECT ecosystem, CASE WHEN ecosystem = 'pypi' THEN regexp_replace(name, '[-_.]+', '-', 'g') ELSE name END AS name, min(k) AS r FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'npm' ELSE 'pypi' END AS ecosystem, CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '_') ELSE replace(p_name, ' ', '-') END AS name, p_partkey AS k FROM part) GROUP BY 1, 2)) WHERE rank <= 50",
 }

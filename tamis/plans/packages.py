@@ -22,7 +22,7 @@ def _names(spark, sf):
 
 
 def _popular(spark, sf):
-    return run(spark, sf, POPULAR).cache()
+    return run(spark, sf, POPULAR)
 
 
 def _open(spark, sf):
@@ -103,7 +103,9 @@ def malicious_check(spark, sf):
 
 
 REGISTRY = f"SELECT ecosystem, name, id % 11 <> 0 AS exists, CASE WHEN id % 3 = 0 THEN id % 200 END AS age_days, CASE WHEN id % 2 = 0 THEN id % 120 END AS weekly_downloads, id % 13 = 0 AS deprecated, CASE WHEN id % 6 = 0 THEN 'x' END AS confusable FROM (SELECT ecosystem, name, min(id) AS id FROM ({NAMES}) WHERE id % 17 <> 3 GROUP BY ecosystem, name)"
-OSV = f"SELECT ecosystem, name, CASE WHEN rank % 10 = 0 THEN 'MAL-2024-1' ELSE 'GHSA-x' END AS id FROM ({POPULAR}) WHERE rank % 4 = 0 UNION ALL SELECT ecosystem, name, 'OSV-2' FROM ({POPULAR}) WHERE rank % 8 = 0"
+OSV = f"SELECT ecosystem, name, CASE WHEN rank % 10 = 0 THEN 'MAL-2024-1' ELSE 'GHSA-x' END AS id, CAST(NULL AS STRING) AS introduced, CASE WHEN rank % 3 = 0 THEN '1.2' END AS fixed FROM ({POPULAR}) WHERE rank % 4 = 0 UNION ALL SELECT ecosystem, name, 'OSV-2', '1.1.0', CASE WHEN rank % 16 = 0 THEN '1.10' END FROM ({POPULAR}) WHERE rank % 8 = 0"
+WANTED = f"SELECT id, name, CASE WHEN id % 9 = 0 THEN 'crates' ELSE ecosystem END AS ecosystem, CASE WHEN id % 5 > 0 THEN version END AS version FROM ({VERSIONED})"
+FACTS = f"SELECT CASE WHEN k = 1 THEN 'crates' ELSE ecosystem END AS ecosystem, name, min(exists) AS exists, min(age_days) AS age_days, min(weekly_downloads) AS weekly_downloads, max(deprecated) AS deprecated, max(confusable) AS confusable FROM ({REGISTRY}) CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) GROUP BY 1, 2"
 
 
 def _report(spark, sf, osv=True):
@@ -111,11 +113,24 @@ def _report(spark, sf, osv=True):
 
 
 def verify_package(spark, sf):
-    return _report(spark, sf).select("id", "exists", "vulns", "malicious", "verdict")
+    """Versions, advisories that apply to them, the list of malicious packages, and ecosystems without a registry."""
+    out = pk.verify(run(spark, sf, WANTED), run(spark, sf, FACTS), run(spark, sf, OSV), _listed(spark, sf))
+    return out.select("id", "exists", "vulns", "malicious", "list_verdict", "limited", "verdict")
 
 
 def check_vulns(spark, sf):
-    return pk.vulnerabilities(_names(spark, sf), run(spark, sf, OSV)).select("id", "count", "malicious")
+    out = pk.vulnerabilities(run(spark, sf, WANTED), run(spark, sf, OSV))
+    return out.select("id", "count", "malicious", F.array_join(F.transform("advisories", lambda a: F.concat_ws("<", a["id"], a["fixed"])), ",").alias("advisories"))
+
+
+GIVEN = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '{"dependencies": {"a": "^1.2.3", "shared": "1.0"}, "devDependencies": {"a": "2", "d' || CAST(p_partkey AS STRING) || '": ">=3"}}' WHEN 1 THEN '{"name": "x"}' WHEN 2 THEN '{broken' END AS manifest,
+ CASE WHEN p_partkey % 3 > 0 THEN 'shared==9.' || CAST(p_partkey AS STRING) || chr(10) || '# no' || chr(10) || 'flask' END AS lines FROM {part}"""
+
+
+def parse_deps(spark, sf):
+    d = run(spark, sf, GIVEN).withColumn("given", F.create_map(F.lit("shared"), F.lit("0"), F.lit("given"), F.lit("7"))).withColumn("packages", F.when(F.col("id") % 5 > 0, F.array(F.lit(" flask "), F.lit(""), F.concat(F.lit("p"), F.col("id").cast("string")))))
+    out = pk.merged_dependencies(d, "given", "manifest", "lines", "packages")
+    return out.select("id", F.size("input_errors").alias("errors"), F.explode("dependencies").alias("x")).select("id", "errors", "x.name", "x.version")
 
 
 def package_info(spark, sf):
@@ -164,7 +179,7 @@ def not_package_reason(spark, sf):
     return run(spark, sf, TOKENS).select("id", "token", pk.not_package(F.col("token")).alias("reason"))
 
 
-_s = lambda sql: plain(sql).replace("AS STRING", "AS VARCHAR")
+_s = lambda sql: plain(sql).replace("AS STRING", "AS VARCHAR").replace("min(exists)", "bool_and(exists)").replace("max(deprecated)", "bool_or(deprecated)")
 _canon = "CASE WHEN ecosystem = 'pypi' THEN lower(regexp_replace(name, '[-_.]+', '-', 'g')) ELSE name END"
 _scope = lambda c: f"nullif(lower(regexp_extract({c}, '^(@[^/]+)/', 1)), '')"
 _collapse = lambda c: f"CASE WHEN regexp_matches({c}, '^@[^/]+/.') THEN regexp_replace(split_part(lower({c}), '/', 1), '[-_.]', '', 'g') || '/' || regexp_replace(substr(lower({c}), strpos({c}, '/') + 1), '[-_.]', '', 'g') ELSE regexp_replace(lower({c}), '[-_.]', '', 'g') END"
@@ -191,8 +206,11 @@ v AS (SELECT name, b, list_concat(list_transform(range(1, length(b) + 1), lambda
  list_transform(range(1, length(b) + 1), lambda i: substr(b, 1, (i - 1)::INT) || substr(b, i::INT, 1) || substr(b, i::INT, 1) || substr(b, i::INT)), [{', '.join(f"replace(b, {quoted(x)}, {quoted(y)})" for x, y in pk.SWAPS)}, replace(b, '-', ''), replace(b, '_', '')]) AS xs FROM b),
 w AS (SELECT name, list_filter(xs, lambda x, i: x <> b AND length(x) >= 2 AND list_position(xs, x) = i AND regexp_matches(x, '^[A-Za-z0-9._-]+$'))[1:30] AS xs FROM v),
 t AS (SELECT name, unnest(range(len(xs)))::INT AS pos, unnest(xs) AS variant FROM w)"""
+_vp = lambda c: f"list_resize(list_transform(string_split({c}, '.'), lambda p: p::INT), 4, 0)"
+_adv = f"""w AS MATERIALIZED ({_s(WANTED)}), g AS (SELECT w.id, count(*) AS n, bool_or(starts_with(o.id, 'MAL-')) AS mal, string_agg(concat_ws('<', o.id, fixed), ',' ORDER BY o.id) AS ids FROM w JOIN ({_s(OSV)}) o ON o.ecosystem = w.ecosystem AND o.name = w.name
+ WHERE (w.version IS NULL OR introduced IS NULL OR {_vp('w.version')} >= {_vp('introduced')}) AND (w.version IS NULL OR fixed IS NULL OR {_vp('w.version')} < {_vp('fixed')}) GROUP BY w.id)"""
 _tok = f"({_s(TOKENS)})"
-QUERIES = {f.__name__: f for f in (pep503, ecosystem_alias, pkg_gate, pkg_nonascii, pkg_collapse_join, pkg_affix, pkg_near, pkg_confusable, pkg_verdict, pkg_verdict_no_list, typosquat_variants, typosquat_registered, did_you_mean, malicious_check, verify_package, check_vulns, package_info, slopsquat, audit_deps_report, audit_deps_summary, clean_version, requirements_parse, npm_spec, pip_spec, not_package_reason)}
+QUERIES = {f.__name__: f for f in (pep503, ecosystem_alias, pkg_gate, pkg_nonascii, pkg_collapse_join, pkg_affix, pkg_near, pkg_confusable, pkg_verdict, pkg_verdict_no_list, typosquat_variants, typosquat_registered, did_you_mean, malicious_check, verify_package, check_vulns, parse_deps, package_info, slopsquat, audit_deps_report, audit_deps_summary, clean_version, requirements_parse, npm_spec, pip_spec, not_package_reason)}
 SQL = {
     "pep503": f"SELECT id, {_canon} AS canon, {_collapse('name')} AS collapsed, length(name) BETWEEN 1 AND 214 AND regexp_matches(name, '^[@a-zA-Z0-9._/-]+$') AS valid FROM ({_s(NAMES)})",
     "ecosystem_alias": "SELECT * FROM (VALUES ('NPM', 'npm'), ('pip', 'pypi'), ('cargo', 'crates'), ('gem', 'rubygems'), ('golang', 'go'), ('nuget', 'nuget'), ('perl', NULL), ('-', 'npm')) AS t(given, ecosystem)",
@@ -212,8 +230,14 @@ SELECT id, CASE WHEN na OR t OR (own AND look) OR cached = 'danger' THEN 'danger
     "typosquat_registered": f"{_vs} SELECT name, count(*) AS registered FROM t WHERE pos < 20 AND variant IN (SELECT name FROM ({_s(NAMES)})) GROUP BY name",
     "did_you_mean": f"WITH {_with} SELECT id, rank::INT AS rank, suggestion, distance::INT AS distance FROM (SELECT n.id, p.name AS suggestion, levenshtein(translate(n.name, 'é', '~'), p.name) AS distance, row_number() OVER (PARTITION BY n.id ORDER BY levenshtein(translate(n.name, 'é', '~'), p.name), p.name) AS rank FROM n JOIN p ON n.ecosystem = p.ecosystem AND n.name <> p.name AND p.name NOT LIKE '@%') WHERE rank <= 5",
     "malicious_check": f"SELECT id, CASE WHEN whole IS NULL THEN 'clear' WHEN whole OR version IN ('1.0.0', '1.2.0') THEN 'malicious' ELSE 'caution' END AS list_verdict FROM ({_s(VERSIONED)}) v LEFT JOIN ({_s(LISTED)}) l ON v.ecosystem = l.ecosystem AND v.name = l.name",
-    "verify_package": f"SELECT id, exists, vulns, malicious, {_ver} AS verdict FROM ({_rep.format(osv='TRUE')})",
-    "check_vulns": f"SELECT id, vulns AS count, malicious FROM ({_rep.format(osv='TRUE')})",
+    "verify_package": f"""WITH {_adv}, m AS (SELECT w.id, w.ecosystem, exists, deprecated, confusable, coalesce(n, 0) AS vulns, coalesce(mal, FALSE) AS malicious, CASE WHEN l.name IS NULL THEN 'clear' WHEN whole OR w.version IN ('1.0.0', '1.2.0') THEN 'malicious' ELSE 'caution' END AS list_verdict,
+ CASE WHEN age_days < 90 THEN 1 ELSE 0 END + CASE WHEN weekly_downloads < 50 THEN 1 ELSE 0 END AS sig, w.ecosystem NOT IN ('npm', 'pypi') AS limited FROM w LEFT JOIN g USING (id) LEFT JOIN ({_s(FACTS)}) f ON f.ecosystem = w.ecosystem AND f.name = w.name LEFT JOIN ({_s(LISTED)}) l ON l.ecosystem = w.ecosystem AND l.name = w.name)
+SELECT id, exists, vulns, malicious, list_verdict, limited, CASE WHEN list_verdict = 'malicious' THEN 'danger' WHEN exists AND (malicious OR {_slop} = 'high') THEN 'danger' WHEN exists AND (limited OR list_verdict = 'caution') THEN 'caution' ELSE {_ver} END AS verdict FROM m""",
+    "check_vulns": f"WITH {_adv} SELECT w.id, coalesce(n, 0) AS count, coalesce(mal, FALSE) AS malicious, coalesce(ids, '') AS advisories FROM w LEFT JOIN g USING (id)",
+    "parse_deps": f"""WITH d AS ({_s(GIVEN)}), x AS (SELECT id, 0 AS k, 'shared' AS name, '0' AS version FROM d UNION ALL SELECT id, 0, 'given', '7' FROM d UNION ALL SELECT id, 1, 'a', '^1.2.3' FROM d WHERE id % 4 = 0 UNION ALL SELECT id, 1, 'shared', '1.0' FROM d WHERE id % 4 = 0
+ UNION ALL SELECT id, 2, 'a', '2' FROM d WHERE id % 4 = 0 UNION ALL SELECT id, 2, 'd' || id, '>=3' FROM d WHERE id % 4 = 0 UNION ALL SELECT id, 3, 'shared', '9.' || id FROM d WHERE id % 3 > 0 UNION ALL SELECT id, 3, 'flask', '' FROM d WHERE id % 3 > 0),
+y AS (SELECT id, name, arg_max(version, k) AS version FROM x GROUP BY ALL), z AS (SELECT id, 'flask' AS name FROM d WHERE id % 5 > 0 UNION ALL SELECT id, 'p' || id FROM d WHERE id % 5 > 0)
+SELECT id, CASE WHEN id % 4 = 2 THEN 1 ELSE 0 END AS errors, name, version FROM (SELECT * FROM y UNION ALL SELECT id, name, '' FROM z WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.id = z.id AND y.name = z.name))""",
     "package_info": f"SELECT n.id, exists, age_days, weekly_downloads FROM ({_s(NAMES)}) n LEFT JOIN ({_s(REGISTRY)}) r ON n.ecosystem = r.ecosystem AND n.name = r.name",
     "slopsquat": f"SELECT {_slop} AS slopsquat, count(*) AS n FROM ({_rep.format(osv='TRUE')}) GROUP BY ALL",
     "audit_deps_report": f"SELECT id, vulns, {_ver} AS verdict FROM ({_rep.format(osv='FALSE')})",

@@ -88,7 +88,7 @@ def found_sql(rows: str, key: str, text: str) -> str:
         labels = every(label) if label else f"list_transform({every(0)}, lambda x: '')"
         cut = f"SELECT {key}, string_split_regex({text}, {quoted(p)}) AS pieces, {every(0)} AS wholes, {every(value)} AS vs, {labels} AS labels FROM {rows} WHERE regexp_matches({text}, {quoted(p)})"
         at = "list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:k - 1], lambda x: length(x))), 0) + length(labels[k])"
-        out.append(f"SELECT {key}, {quoted(i)} AS rule_id, '{kind}' AS kind, {quoted(name)} AS type, '{severity}' AS severity, place::INT AS index, value FROM (SELECT {key}, {at} AS place, vs[k] AS value FROM (SELECT *, unnest(range(1, len(wholes) + 1)) AS k FROM ({cut}))) WHERE {cond}")
+        out.append(f"SELECT {key}, {quoted(i)} AS rule_id, '{kind}' AS kind, {quoted(name)} AS type, '{severity}' AS severity, place::INT AS index, length(value)::INT AS size, value FROM (SELECT {key}, {at} AS place, vs[k] AS value FROM (SELECT *, unnest(range(1, len(wholes) + 1)) AS k FROM ({cut}))) WHERE {cond}")
     return f"SELECT * EXCLUDE (value), CASE WHEN length(value) >= 12 THEN substr(value, 1, 4) || '****' || right(value, 2) ELSE '****' END AS preview FROM ({' UNION ALL '.join(out)})"
 
 
@@ -101,6 +101,12 @@ SQL = {
     "pii_card_luhn": f"SELECT * FROM (SELECT doc_id, {_cards} AS n FROM {_T}) WHERE n > 0",
     "pii_ssn": f"SELECT doc_id, {_ssn} AS n FROM {_T} WHERE {_ssn} > 0",
     "secrets_formats": f"WITH t AS MATERIALIZED {_T} SELECT rule_id, count(*) AS docs, sum(n)::BIGINT AS n FROM ({_kinds}) WHERE n > 0 GROUP BY rule_id",
+    "scan_secrets_spans": f"""WITH t AS MATERIALIZED {_T}, f AS (SELECT doc_id, index AS a, index + size AS b, type FROM ({found_sql('t', 'doc_id', 'text')}) WHERE kind = 'secret'),
+g AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b, type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM f),
+h AS (SELECT *, sum(CASE WHEN m IS NULL OR a >= m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b, type ROWS UNBOUNDED PRECEDING) AS k FROM g),
+i AS (SELECT doc_id, k, min(a) AS a, max(b) AS b, first(type ORDER BY a, b, type) AS type FROM h GROUP BY ALL), j AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS p FROM i),
+l AS (SELECT doc_id, count(*)::INT AS n, string_agg(substr(text, (p + 1)::INT, (a - p)::INT) || '[REDACTED:' || type || ']', '' ORDER BY k) AS s, max(b) AS e FROM j JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::INT AS n, CASE WHEN n IS NULL THEN text ELSE s || substr(text, (e + 1)::INT) END AS redacted FROM t LEFT JOIN l USING (doc_id)""",
     "secrets_findings": f"WITH t AS MATERIALIZED {_T} SELECT doc_id, rule_id, kind, severity, index, preview FROM ({found_sql('t', 'doc_id', 'text')})",
     "redact_values": f"SELECT doc_id, md5({_redacted()}) AS redacted_md5 FROM {_T}",
     "secret_verdict": f"""SELECT doc_id, secrets::INT AS secrets, pii::INT AS pii, secrets + pii > 0 AS found, CASE WHEN crit > 0 THEN 'block' WHEN secrets + pii > 0 THEN 'review' ELSE 'allow' END AS verdict

@@ -102,6 +102,7 @@ _s = lambda sql: plain(sql).replace("AS STRING", "AS VARCHAR")
 _P = f"({_s(PAGES)})"
 _n = len(COMMANDS)
 _sw = lambda xs: " UNION ALL ".join(f"SELECT o_orderkey AS id, {', '.join(v if v == 'NULL' else chr(39) + v + chr(39) for v in vs)} FROM orders WHERE o_orderkey % {_n} = {k}" for k, *vs in xs)
+_entities = lambda c: f"replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
 QUERIES = {f.__name__: f for f in (html_title_lang, html_metadata, html_schema_types, html_text_words, css_extract, feed_items_topk, dns_pivot, rdap_age, cert_days, redirect_chain, security_headers, shell_installs, shell_risky)}
 SQL = {
     "html_title_lang": "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title, nullif(regexp_extract(html, '(?is)<html[^>]+lang=[\"'']([^\"'']*)[\"'']', 1), '') AS lang FROM pages",
@@ -112,6 +113,7 @@ SQL = {
  CASE WHEN regexp_extract(domain, 'd([0-9]+)', 1)::INT < 5 THEN 'CNAME' ELSE '' END AS skipped FROM ({_s(DNS)}) GROUP BY domain""",
     "rdap_age": "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(TIMESTAMP '2020-01-01 12:00:00' + to_days((c_custkey % 9)::INT))) / 86400000000)::BIGINT END AS age_days, floor((epoch_us(TIMESTAMP '2025-03-01' + to_days((c_custkey % 9)::INT)) - epoch_us(TIMESTAMP '2024-02-01')) / 86400000000)::BIGINT AS days_left, 'R' || c_custkey AS registrar, 'ns1.x,ns2.x' AS nameservers FROM customer",
     "cert_days": "SELECT o_orderkey AS id, floor((epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-06-15 06:00:00')) / 86400000000)::BIGINT AS days_remaining, o_orderdate < TIMESTAMP '1995-06-15 06:00:00' AS expired, 2::INT AS names, 'a' || o_orderkey || '.org' AS first FROM orders",
+    "css_extract": f"SELECT page_id, trim(regexp_replace({_entities('h')}, '\\s+', ' ', 'g')) AS heading, len(regexp_extract_all(nav, '<a href='))::INT AS links, TRUE AS bad_is_null FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS h, regexp_extract(html, '(?s)<nav>.*?</nav>') AS nav FROM ({plain(PAGES).replace('AS STRING', 'AS VARCHAR')}))",
     "redirect_chain": "SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS hops, count(DISTINCT l_linenumber) - 1 AS followed FROM lineitem GROUP BY 1",
     "security_headers": "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'strict-transport-security,x-frame-options' ELSE 'strict-transport-security' END AS present, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 5 END::INT AS missing FROM customer",
     "shell_installs": f"SELECT id, manager, ecosystem, name, version FROM ({_sw([(1, 'npm', 'npm', 'express', '4'), (1, 'npm', 'npm', 'lodash', 'NULL'), (4, 'pip', 'pypi', 'requests', '2.31.0'), (7, 'pip3', 'pypi', 'flask', 'NULL'), (7, 'yarn', 'npm', '@babel/core', '7')])}) t(id, manager, ecosystem, name, version)",
