@@ -11,7 +11,8 @@ the sets are compared directly.
 likeness = 1 - differing / (digests of one + digests of the other); two texts without paragraphs: 1.
 
 Null is the empty text, whose sketch is empty. Equal texts have equal sketches. The next document is found by
-ranges of ids, not by one global sort; rows with equal ids are ordered by their texts' MD5, null ids are last.
+ranges of integer ids, not by one global sort; rows with equal ids are ordered by their texts' MD5, null ids are
+last. Ranges of one id with very many rows, or of null ids, are cut by that MD5.
 A table of one row is its own next document. Columns named like results are replaced.
 """
 
@@ -109,7 +110,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, _text, _next): each row's text and that of the row with the next smaller key; the last gets the first's.
 
-    Rows are dealt to ranges of keys; the first row of each range is also given to the range before it.
+    Rows are dealt to ranges of keys; the first row of each is also given to the range before it.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(16, min(4096, 2 * parts))
@@ -124,23 +125,35 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     c = below(longs(coarse)) if coarse else F.lit(0)
     rank = c * 64 + below(F.slice(longs(cuts), c * 64 + 1, F.lit(64))) if cuts else F.lit(0)
-    d = d.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(rank).cast("int"))
-    heads = sorted((r[0], r[1]) for r in d.groupBy("_part").agg(F.max(key)).collect())  # n + 1 rows at most
-    return _lead(d, heads, key)
-
-
-def _lead(d: DataFrame, heads: list[tuple[int, int | None]], key: str) -> DataFrame:
-    """The window of with_next; heads: (range, largest key), ascending. Null keys are range -1, the last in order."""
-    order = [p for p, _ in reversed(heads)]  # ranges in order of rows: descending keys, null last
+    d = d.withColumn("_part", F.when(F.col(key).isNull(), 0).otherwise(rank + 1).cast("int"))
+    seen = {r[0]: r for r in d.groupBy("_part").agg(F.min(key), F.max(key), F.count("*")).collect()}  # n + 1 rows at most
+    even = max(1.0, sum(r[3] for r in seen.values()) / n)
+    # a range of one id (or of null ids) can't be cut by ids: it is cut by its texts' hashes, which order its rows
+    cut = [min(256, int(seen[p][3] / even) + 1) if p in seen and seen[p][1] == seen[p][2] else 1 for p in range(len(cuts) + 2)]
+    return _lead(d, cut, key)
+
+
+def _lead(d: DataFrame, cut: list[int], key: str) -> DataFrame:
+    """The window of with_next over d's ranges, each cut into some pieces. Range 0 has the null keys, the last in order."""
+    at = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i)
+    first = [sum(cut[:p]) for p in range(len(cut))]
+    pieces = at(cut, F.col("_part"))
+    d = d.withColumn("_h", F.when(pieces > 1, F.md5("_text")))
+    sub = F.when(pieces > 1, F.floor(F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") * pieces / 256)).otherwise(0)
+    d = d.withColumn("_p", (at(first, F.col("_part")) + sub).cast("int"))
+    heads = {r[0]: r[1] for r in d.groupBy("_p").agg(F.min(F.struct(F.bitwise_not(key).alias("k"), F.col("_h").alias("h")))).collect()}  # a row a piece
+    order = [p for part in [*range(len(cut) - 1, 0, -1), 0] for p in range(first[part], first[part] + cut[part]) if p in heads]  # in order of rows
+    before = {p: order[i - 1] for i, p in enumerate(order)}  # the first piece's head goes to the last: -1 wraps
+    every = range(sum(cut))
+    spot = lambda p, g: F.struct(p.alias("p"), F.lit(g).alias("g"))
     if order:
-        before = {p: order[i - 1] for i, p in enumerate(order)}  # the first range's head goes to the last: -1 wraps
-        pairs = F.create_map(*(F.lit(x) for p, most in heads for x in (p, before[p])))
-        most = F.create_map(*(x for p, m in heads for x in (F.lit(p), F.lit(m).cast(d.schema[key].dataType))))
-        first = F.col(key).eqNullSafe(most[F.col("_part")])
-        spots = F.when(first, F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")), F.struct(pairs[F.col("_part")].alias("p"), F.lit(1).alias("g"))))
-        spots = spots.otherwise(F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g"))))
+        kind = d.schema[key].dataType
+        most = at([None if p not in heads or heads[p].k is None else ~heads[p].k for p in every], F.col("_p")).cast(kind)
+        least = at([heads[p].h if p in heads else None for p in every], F.col("_p")).cast("string")
+        leads = F.col(key).eqNullSafe(most) & F.col("_h").eqNullSafe(least)
+        spots = F.when(leads, F.array(spot(F.col("_p"), 0), spot(at([before.get(p, -1) for p in every], F.col("_p")), 1))).otherwise(F.array(spot(F.col("_p"), 0)))
     else:
-        spots = F.array(F.struct(F.col("_part").alias("p"), F.lit(0).alias("g")))
+        spots = F.array(spot(F.col("_p"), 0))
     d = d.withColumn("_spot", F.explode(spots))
     w = Window.partitionBy("_spot.p").orderBy("_spot.g", F.col(key).desc_nulls_last(), F.md5("_text"))
     return d.withColumn("_next", F.lead("_text").over(w)).where(F.col("_spot.g") == 0).select(key, "_text", "_next")

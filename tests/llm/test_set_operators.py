@@ -320,6 +320,14 @@ def test_fingerprints_one_row_and_none(spark, docs):
     assert fingerprint.compare_versions(docs.limit(0)).count() == 0
 
 
+def test_next_of_hot_ids(spark):
+    """A third of all rows without an id, and a third with one id: both are cut, and order is by hashes of texts."""
+    rows = [(None, f"null {i}. x") for i in range(300)] + [(50, f"hot {i}. y") for i in range(300)] + [(i, f"own {i}.") for i in range(300) if i != 50] + [(50, "hot 3. y"), (None, None)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()))
+    want = Counter((i, t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order))
+    assert Counter(map(tuple, fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())) == want
+
+
 def test_fingerprint_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
