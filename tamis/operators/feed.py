@@ -13,11 +13,10 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from .ledger import validate_bundle
+from .ledger import LARGEST, validate_bundle
 
 RULES_VERSION = "1.0.0"  #: of the rules that are compiled in
 PERIOD, JITTER = 24 * 3600, 6 * 3600
-LARGEST = 12 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -25,6 +24,7 @@ class Outcome:
     status: str  #: skipped, up-to-date, failed, refused or applied
     reason: str = ""
     bundle: dict | None = None
+    sidecar: bytes | None = None  #: the list of malicious packages that came with it
 
     @property
     def provenance(self) -> str:
@@ -55,8 +55,35 @@ def runs_within(pattern: str, text: str, seconds: float = 1.0) -> bool:
         return False
 
 
-def update(fetch: Callable[[], tuple[dict, bytes, bytes]], current: dict | None, verify: Callable[[bytes, bytes], bool], allow_rollback: bool = False, is_due: bool = True) -> Outcome:
-    """What becomes of a feed's offer. fetch gives (manifest, bundle bytes, signature); current is the bundle in use."""
+PROBES = ("a" * 4000, "aA1 -_.=:/'\"" * 300, "\n \t" * 1500)  #: what patterns must get through in time
+
+
+def slow_pattern(patterns: list[str], seconds: float = 2.0) -> int | None:
+    """The first pattern that doesn't end on all probes in time; all run in one process, which tells how far it came."""
+    code = "import json, re, sys\nfor p in json.load(sys.stdin)[0]:\n    for t in json.loads(sys.argv[1]): re.search(p, t)\n    print(1, flush=True)"
+    begun = 0
+    while begun < len(patterns):
+        p = subprocess.Popen([sys.executable, "-c", code, json.dumps(PROBES)], stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True)
+        try:
+            out, late = p.communicate(json.dumps([patterns[begun:]]), timeout=seconds * 10)[0], False
+        except subprocess.TimeoutExpired:
+            p.kill()
+            out, late = p.communicate()[0], True
+        begun += out.count("1")
+        if begun == len(patterns):
+            return None
+        if not late or not all(runs_within(patterns[begun], t, seconds) for t in PROBES):
+            return begun  # spins, or isn't a pattern
+        begun += 1  # slow only together with those before it
+    return None
+
+
+def update(fetch: Callable[[], tuple[dict, bytes, bytes]], current: dict | None, verify: Callable[[bytes, bytes], bool], allow_rollback: bool = False, is_due: bool = True, sidecar: Callable[[str], bytes] | None = None) -> Outcome:
+    """What becomes of a feed's offer. fetch gives (manifest, bundle bytes, signature); current is the bundle in use.
+
+    Patterns must end in time on probes. A file beside the bundle (lists.malicious_packages: file and sha256) is fetched
+    by sidecar(file): one whose digest differs refuses the whole offer, one that can't be fetched leaves it out.
+    """
     if not is_due:
         return Outcome("skipped", "not due", current)
     try:
@@ -83,4 +110,16 @@ def update(fetch: Callable[[], tuple[dict, bytes, bytes]], current: dict | None,
             return Outcome("up-to-date", "", current)
         if new < old and not allow_rollback:
             return Outcome("refused", "rollback", current)
+    patterns = [(f"{name}/{r['id']}", r["pattern"]) for name, rules in bundle["rulesets"].items() for r in rules]
+    if (k := slow_pattern([p for _, p in patterns])) is not None:
+        return Outcome("refused", f"{patterns[k][0]} is too slow", current)
+    beside = (bundle.get("lists") or {}).get("malicious_packages")
+    if beside and sidecar:
+        try:
+            content = sidecar(beside["file"])
+        except OSError as e:
+            return Outcome("applied", f"without {beside['file']}: {e}", bundle)
+        if hashlib.sha256(content).hexdigest() != beside.get("sha256"):
+            return Outcome("refused", f"digest of {beside['file']}", current)
+        return Outcome("applied", "", bundle, content)
     return Outcome("applied", "", bundle)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,6 +126,8 @@ def popular_names(ranked: DataFrame, most: int = 3000) -> DataFrame:
     return once.withColumn("rank", place).where(F.col("rank") <= most)
 
 
+# Bounds of a bundle.
+LARGEST, MOST_RULES, LONGEST_PATTERN = 12 * 1024 * 1024, 500, 2000
 VERSION = r"^\d{4}\.\d{2}\.\d{2}(\.\d+)?$"
 
 
@@ -153,6 +156,8 @@ def validate_bundle(bundle: object) -> list[str]:
     if not isinstance(bundle, dict):
         return ["not an object"]
     errors = []
+    if len(json.dumps(bundle)) > LARGEST:
+        errors.append("too large")
     if bundle.get("schema") != 1:
         errors.append("schema is not 1")
     if not re.match(VERSION, str(bundle.get("version", ""))):
@@ -167,6 +172,9 @@ def validate_bundle(bundle: object) -> list[str]:
         if not isinstance(rules, list) or not rules:
             errors.append(f"{name}: empty")
             continue
+        if len(rules) > MOST_RULES:
+            errors.append(f"{name}: more than {MOST_RULES} rules")
+            continue
         seen = set()
         for r in rules:
             i = r.get("id") if isinstance(r, dict) else None
@@ -180,6 +188,11 @@ def validate_bundle(bundle: object) -> list[str]:
                 errors.append(f"{name}/{i}: bad weight")
             if "severity" in r and r["severity"] not in ("critical", "high", "medium", "low"):
                 errors.append(f"{name}/{i}: bad severity")
+            if not re.fullmatch("[gimsuy]*", str(r.get("flags", ""))):
+                errors.append(f"{name}/{i}: bad flags")
+            if len(str(r.get("pattern"))) > LONGEST_PATTERN:
+                errors.append(f"{name}/{i}: pattern too long")
+                continue
             try:
                 groups = re.compile(r.get("pattern") or "(").groups
             except (re.error, TypeError):

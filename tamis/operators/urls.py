@@ -83,15 +83,21 @@ def verdict(df: DataFrame) -> DataFrame:
 
 
 def payment_verdict(df: DataFrame, final_url: str | None = None) -> DataFrame:
-    """screen_payment: young domains add 25 or 12; a redirect to another host adds that URL's score."""
+    """screen_payment: young domains add 25 or 12; a redirect to another host adds that URL's score and flags."""
     age = F.col("domain_age_days")
     total = F.col("score") + F.when(age < 30, 25).when(age < 180, 12).otherwise(0)
+    none = F.array().cast("array<string>")
+    young = F.when(age < 30, F.array(F.lit("very-new-domain"))).when(age < 180, F.array(F.lit("new-domain"))).otherwise(none)
+    df = df.withColumn("flags", F.when(F.col("valid"), F.concat("flags", young)).otherwise(F.col("flags")))
     if final_url:
         own = df.columns
         target = analyze(df.select(*[F.col(c).alias(f"_{c}") for c in own]), f"_{final_url}")
-        df = target.select(*[F.col(f"_{c}").alias(c) for c in own], F.col("host").alias("final_host"), F.col("score").alias("final_score"))
-        total = total + F.when(F.col(final_url).isNotNull() & (F.col("final_host") != F.col("host")), F.col("final_score")).otherwise(0)
+        df = target.select(*[F.col(f"_{c}").alias(c) for c in own], F.col("valid").alias("_reads"), F.col("host").alias("final_host"), F.col("score").alias("final_score"), F.col("flags").alias("_further"))
+        moved = F.col("valid") & F.col("_reads") & (F.col("final_host") != F.col("host"))
+        total = total + F.when(moved, F.col("final_score")).otherwise(0)
+        df = df.withColumn("flags", F.when(moved, F.concat("flags", F.transform("_further", lambda f: F.concat(f, F.lit(" (after redirect)"))))).otherwise(F.col("flags")))
     df = df.withColumn("score", F.when(F.col("valid"), F.least(F.lit(100), total)).otherwise(100).cast("int"))
+    df = df.drop("_reads", "_further")
     return df.withColumn("verdict", F.when(~F.col("valid"), "block").otherwise(verdicts.by_score(F.col("score"), (50, "block"), (25, "caution"), default="safe")))
 
 
@@ -108,11 +114,14 @@ def ranges(spark, cidrs=PRIVATE) -> DataFrame:
 
 def is_private(ip: Column) -> Column:
     """For IPv4; what isn't an address counts as private, so that nothing is fetched from it."""
-    n = number(ip)
-    inside = F.lit(False)
-    for c in map(ipaddress.ip_network, PRIVATE):
-        inside = inside | n.between(int(c[0]), int(c[-1]))
-    return F.when(n.isNull(), True).otherwise(inside)
+
+    def judged(n: Column) -> Column:  # n is worked out once
+        inside = F.lit(False)
+        for c in map(ipaddress.ip_network, PRIVATE):
+            inside = inside | n.between(int(c[0]), int(c[-1]))
+        return F.when(n.isNull(), True).otherwise(inside)
+
+    return F.transform(F.array(number(ip)), judged)[0]
 
 
 @F.pandas_udf(T.BooleanType())
@@ -139,8 +148,12 @@ def is_private_any(ips: pd.Series) -> pd.Series:
     return ips.map(private)
 
 
-def reputation(df: DataFrame, ip: str, tor: DataFrame | None, blocked: DataFrame | None, asn: DataFrame | None) -> DataFrame:
-    """check_ip: each list may be missing, which leaves its fact null and lists the check as skipped."""
+def reputation(df: DataFrame, ip: str, tor: DataFrame | None, blocked: DataFrame | None, asn: DataFrame | None, ptr: DataFrame | None = None) -> DataFrame:
+    """check_ip: each list may be missing, which leaves its fact null and lists the check as skipped.
+
+    blocked(ip and perhaps code): codes 127.255.255.x say that the block list refused to answer, which is unknown, not
+    listed. ptr(ip, name) are reverse names; they are told and don't count.
+    """
 
     def fact(df: DataFrame, rows: DataFrame | None, name: str) -> DataFrame:
         if rows is None:
@@ -148,7 +161,19 @@ def reputation(df: DataFrame, ip: str, tor: DataFrame | None, blocked: DataFrame
         rows = small(rows.select(F.col("ip").alias("_ip"), F.lit(True).alias("_hit")).distinct())
         return df.join(rows, F.col(ip) == F.col("_ip"), "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_ip", "_hit")
 
-    df = fact(fact(df.withColumn("private", is_private(F.col(ip))), tor, "tor_exit"), blocked, "blocklisted")
+    df = fact(df.withColumn("private", is_private(F.col(ip))), tor, "tor_exit")
+    if blocked is None or "code" not in blocked.columns:
+        df = fact(df, blocked, "blocklisted").withColumn("codes", F.lit(None).cast("array<string>"))
+    else:
+        codes = blocked.groupBy(F.col("ip").alias("_ip")).agg(F.sort_array(F.collect_set("code")).alias("codes"))  # some per address
+        df = df.join(small(codes), F.col(ip) == F.col("_ip"), "left")
+        refused = F.exists("codes", lambda c: c.startswith("127.255.255."))
+        df = df.withColumn("blocklisted", F.when(F.col("_ip").isNull(), False).when(refused, None).otherwise(True)).drop("_ip")
+    if ptr is None:
+        df = df.withColumn("ptr", F.lit(None).cast("string"))
+    else:
+        names = ptr.groupBy(F.col("ip").alias("_ip")).agg(F.min("name").alias("ptr"))
+        df = df.join(small(names), F.col(ip) == F.col("_ip"), "left").drop("_ip")
     if asn is None:
         df = df.withColumn("org", F.lit(None).cast("string"))
     else:

@@ -46,7 +46,7 @@ def url_verdict_unchecked(spark, sf):
 
 
 def payment_url_verdict(spark, sf):
-    return urls.payment_verdict(_aged(spark, sf), "final_url").select("id", "score", "verdict")
+    return urls.payment_verdict(_aged(spark, sf), "final_url").select("id", _joined("flags").alias("flags"), "score", "verdict")
 
 
 _DIGITS = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
@@ -83,14 +83,15 @@ def host_argument(spark, sf):
 
 
 TOR = f"SELECT DISTINCT ip FROM ({MADE_IPS}) WHERE id % 50 = 0"
-BLOCKED = f"SELECT DISTINCT ip FROM ({MADE_IPS}) WHERE id % 33 = 0"
+BLOCKED = f"SELECT DISTINCT ip, CASE WHEN id % 2 = 0 THEN '127.0.0.2' WHEN id % 5 = 0 THEN '127.255.255.254' ELSE '127.0.0.4' END AS code FROM ({MADE_IPS}) WHERE id % 33 = 0"
+PTR = f"SELECT ip, 'h' || CAST(id AS STRING) || '.example' AS name FROM ({MADE_IPS}) WHERE id % 4 = 0"
 ASN = f"SELECT ip, max(CASE WHEN id % 3 = 0 THEN 'Amazon AWS' ELSE 'Home Net' END) AS org FROM ({MADE_IPS}) WHERE id % 2 = 0 GROUP BY ip"
 
 
 def ip_reputation(spark, sf):
     d = run(spark, sf, MADE_IPS)
-    out = urls.reputation(d, "ip", run(spark, sf, TOR), run(spark, sf, BLOCKED), run(spark, sf, ASN))
-    return out.select("id", "private", "score", "verdict", _joined("checks_skipped").alias("skipped"))
+    out = urls.reputation(d, "ip", run(spark, sf, TOR), run(spark, sf, BLOCKED), run(spark, sf, ASN), run(spark, sf, PTR))
+    return out.select("id", _joined("codes").alias("codes"), "ptr", "private", "score", "verdict", _joined("checks_skipped").alias("skipped"))
 
 
 PASSWORDS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'password' || CAST(c_custkey % 9 AS STRING) ELSE c_name END AS password FROM {customer}"
@@ -133,6 +134,7 @@ _FLAGS = [
     ("url-shortener", f"host IN {_in(urls.SHORTENERS)}", 10), ("excessive-subdomains", "len(ls) > 5", 15), ("long-host", "length(host) > 50", 8), ("nonstandard-port", "port NOT IN ('', '80', '443')", 8), ("brand-lookalike", f"({_brand}) IS NOT NULL", 28), ("non-ascii-host", "strlen(host) > length(host)", 15),
 ]
 _score = "CASE WHEN valid THEN least(100, " + " + ".join(f"CASE WHEN {c} THEN {w} ELSE 0 END" for _, c, w in _FLAGS) + ") ELSE 40 END"
+_named = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN {quoted(n)} END" for n, c, _ in _FLAGS) + ")"
 _scored = lambda source, u="url": f"SELECT *, ({_score})::INT AS score FROM ({_parts(source, u)})"
 _aged_sql = f"SELECT a.*, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(registered_at)) / 86400000000)::BIGINT AS domain_age_days FROM ({_scored(_s(ALL))}) a LEFT JOIN ({RDAP}) r ON domain = CASE WHEN len(ls) >= 2 THEN ls[-2] || '.' || ls[-1] ELSE ls[-1] END"
 _v = "CASE WHEN NOT valid THEN 'malicious' WHEN {s} >= 50 THEN 'malicious' WHEN {s} >= 25 THEN 'suspicious' ELSE 'safe' END"
@@ -150,18 +152,19 @@ SQL = {
     "url_score": f"SELECT id, valid, {_brand} AS brand, score FROM ({_scored(_s(ALL))})",
     "url_verdict": f"SELECT id, domain_age_days, s AS score, {_v.format(s='s')} AS verdict, CASE WHEN domain_age_days IS NULL THEN 'domain_age' ELSE '' END AS skipped FROM (SELECT *, least(100, score + CASE WHEN valid AND domain_age_days < 30 THEN 25 ELSE 0 END) AS s FROM ({_aged_sql}))",
     "url_verdict_unchecked": f"SELECT {_v.format(s='score')} AS verdict, 'domain_age' AS skipped, count(*) AS n FROM ({_scored(_s(ALL))}) GROUP BY ALL",
-    "payment_url_verdict": f"""SELECT id, s AS score, CASE WHEN NOT valid THEN 'block' WHEN s >= 50 THEN 'block' WHEN s >= 25 THEN 'caution' ELSE 'safe' END AS verdict FROM (
-SELECT a.id, a.valid, (CASE WHEN NOT a.valid THEN 100 ELSE least(100, a.score + CASE WHEN domain_age_days < 30 THEN 25 WHEN domain_age_days < 180 THEN 12 ELSE 0 END + CASE WHEN a.final_url IS NOT NULL AND b.host <> a.host THEN b.score ELSE 0 END) END)::INT AS s
-FROM ({_aged_sql}) a JOIN ({_scored(_s(ALL), 'final_url')}) b USING (id))""",
+    "payment_url_verdict": f"""SELECT id, flags, s AS score, CASE WHEN NOT valid THEN 'block' WHEN s >= 50 THEN 'block' WHEN s >= 25 THEN 'caution' ELSE 'safe' END AS verdict FROM (
+SELECT a.id, a.valid, concat_ws(',', CASE WHEN a.valid THEN nullif(a.ids, '') ELSE 'invalid-url' END, CASE WHEN NOT a.valid THEN NULL WHEN domain_age_days < 30 THEN 'very-new-domain' WHEN domain_age_days < 180 THEN 'new-domain' END,
+ CASE WHEN a.valid AND b.valid AND b.host <> a.host AND b.ids <> '' THEN replace(b.ids, ',', ' (after redirect),') || ' (after redirect)' END) AS flags, (CASE WHEN NOT a.valid THEN 100 ELSE least(100, a.score + CASE WHEN domain_age_days < 30 THEN 25 WHEN domain_age_days < 180 THEN 12 ELSE 0 END + CASE WHEN a.valid AND b.valid AND b.host <> a.host THEN b.score ELSE 0 END) END)::INT AS s
+FROM (SELECT *, {_named} AS ids FROM ({_aged_sql})) a JOIN (SELECT *, {_named} AS ids FROM ({_scored(_s(ALL), 'final_url')})) b USING (id))""",
     "ip_private": f"SELECT id, ip, {_private} AS private FROM ({_all_ips})",
     "ip_ranges_join": f"SELECT cidr, count(*) AS n, count(DISTINCT ip) AS ips FROM ({_all_ips}) JOIN {_ranges} ON n BETWEEN low AND high GROUP BY cidr",
     "ip_private_v6": "SELECT * FROM (VALUES (1, '::1', TRUE), (2, 'fe80::1', TRUE), (3, '::ffff:10.0.0.1', TRUE), (4, '2001:4860:4860::8888', FALSE), (5, '64:ff9b::8.8.8.8', FALSE), (6, '64:ff9b::7f00:1', TRUE), (7, 'garbage', TRUE), (8, '8.8.8.8', FALSE), (9, 'ff02::1', TRUE), (10, '[fd00::2]', TRUE)) AS t(id, ip, private)",
     "ip_reversed": f"SELECT id, concat_ws('.', split_part(ip, '.', 4), split_part(ip, '.', 3), split_part(ip, '.', 2), split_part(ip, '.', 1)) AS reversed FROM ({_s(MADE_IPS)})",
     "host_argument": f"""SELECT id, CASE WHEN regexp_matches(h, '^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$') AND h <> '10.0.0.1' THEN h END AS host FROM (SELECT id, lower(regexp_replace(regexp_replace(given, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?', ''), '[:/?#].*$', '')) AS h
 FROM (SELECT id, CASE WHEN id % 4 = 0 THEN regexp_replace(url, '^https?://', '') ELSE url END AS given FROM ({_s(ALL)})))""",
-    "ip_reputation": f"""SELECT id, private, (CASE WHEN private THEN 0 ELSE tor + bl + dc END)::INT AS score, CASE WHEN private THEN 'low-risk' WHEN tor + bl + dc >= 40 THEN 'high-risk' WHEN tor + bl + dc >= 15 THEN 'caution' ELSE 'low-risk' END AS verdict,
-CASE WHEN NOT private AND org IS NULL THEN 'asn' ELSE '' END AS skipped FROM (SELECT id, {_private} AS private, CASE WHEN t.ip IS NULL THEN 0 ELSE 35 END AS tor, CASE WHEN b.ip IS NULL THEN 0 ELSE 40 END AS bl, CASE WHEN regexp_matches(org, {quoted(urls.DATACENTER)}) THEN 10 ELSE 0 END AS dc, org
-FROM (SELECT *, {_num} AS n FROM ({_s(MADE_IPS)})) m LEFT JOIN ({_s(TOR)}) t USING (ip) LEFT JOIN ({_s(BLOCKED)}) b USING (ip) LEFT JOIN ({_s(ASN)}) o USING (ip))""",
+    "ip_reputation": f"""SELECT id, codes, ptr, private, (CASE WHEN private THEN 0 ELSE tor + bl + dc END)::INT AS score, CASE WHEN private THEN 'low-risk' WHEN tor + bl + dc >= 40 THEN 'high-risk' WHEN tor + bl + dc >= 15 THEN 'caution' ELSE 'low-risk' END AS verdict,
+CASE WHEN private THEN '' ELSE concat_ws(',', CASE WHEN refused THEN 'blocklist' END, CASE WHEN org IS NULL THEN 'asn' END) END AS skipped FROM (SELECT id, codes, ptr, {_private} AS private, CASE WHEN t.ip IS NULL THEN 0 ELSE 35 END AS tor, CASE WHEN codes IS NULL OR refused THEN 0 ELSE 40 END AS bl, coalesce(refused, FALSE) AS refused, CASE WHEN regexp_matches(org, {quoted(urls.DATACENTER)}) THEN 10 ELSE 0 END AS dc, org
+FROM (SELECT *, {_num} AS n FROM ({_s(MADE_IPS)})) m LEFT JOIN ({_s(TOR)}) t USING (ip) LEFT JOIN (SELECT ip, string_agg(code, ',' ORDER BY code) AS codes, bool_or(starts_with(code, '127.255.255.')) AS refused FROM ({_s(BLOCKED)}) GROUP BY ip) b USING (ip) LEFT JOIN ({_s(ASN)}) o USING (ip) LEFT JOIN (SELECT ip, min(name) AS ptr FROM ({_s(PTR)}) GROUP BY ip) p USING (ip))""",
     "password_prefix_join": f"SELECT id, coalesce(count, 0)::BIGINT AS count, CASE WHEN count > 1000 THEN 'severely-compromised' WHEN count > 0 THEN 'compromised' ELSE 'safe' END AS verdict FROM ({_s(PASSWORDS)}) LEFT JOIN ({_s(PWNED)}) ON upper(sha1(password)) = prefix || suffix",
     "extract_links": f"SELECT page_id, pos::INT AS pos, link FROM ({_links}) WHERE pos < 25",
     "link_risk_topk": f"SELECT page_id, rank::INT AS rank, link, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM ({_scored(f'SELECT * FROM ({_links}) WHERE pos < 10', 'link')}) WHERE score > 0) WHERE rank <= 2",

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .functions.dialect import java
 from .operators import code, content, email, feed, packages, payments, secrets, urls, web
 
 
@@ -60,7 +61,29 @@ TOOLS: dict[str, Tool] = {
 }
 
 
+def fed_rules(spark, bundle: dict, ruleset: str = "injection") -> DataFrame:
+    """A bundle's rules as content.scan_with() takes them."""
+    rows = [(k, r["id"], r.get("category", ruleset), r.get("weight", 0), java(r["pattern"], r.get("flags", ""), exact=True)) for k, r in enumerate(bundle["rulesets"][ruleset])]
+    return spark.createDataFrame(rows, "ordinal int, id string, category string, weight int, pattern string")
+
+
+def status(bundle: dict | None = None) -> dict:
+    """Which rules are in use: version, provenance, counts by ruleset, and sources that could not be read when they were built."""
+    own = {"injection": len(content.RULES), "code": len(code.RULES), "secrets": len(secrets.RULES)}
+    counts = own | ({k: len(v) for k, v in bundle["rulesets"].items()} if bundle else {})
+    stale = [s["id"] for s in (bundle or {}).get("sources", []) if not s.get("ok")]
+    return {"version": bundle["version"] if bundle else feed.RULES_VERSION, "provenance": feed.Outcome("", bundle=bundle).provenance, "rules": counts, "stale_sources": stale}
+
+
 def run(name: str, df: DataFrame, *args, bundle: dict | None = None, **options) -> DataFrame:
-    """The tool's result with rules_version and rules_provenance; unknown names raise KeyError."""
-    out = TOOLS[name].run(df, *args, **options)
-    return out.withColumn("rules_version", F.lit(feed.RULES_VERSION)).withColumn("rules_provenance", F.lit(feed.Outcome("", bundle=bundle).provenance))
+    """The tool's result with rules_version and rules_provenance; unknown names raise KeyError.
+
+    bundle: a rules bundle that was applied. Its phrase rules take the place of the compiled-in ones in scan_content; the
+    other tools have no fed rules here and keep theirs.
+    """
+    if bundle and name == "scan_content" and bundle["rulesets"].get("injection"):
+        out = content.scan_with(df, fed_rules(df.sparkSession, bundle), *args, **options)
+        version = bundle["version"]
+    else:
+        out, version, bundle = TOOLS[name].run(df, *args, **options), feed.RULES_VERSION, None
+    return out.withColumn("rules_version", F.lit(version)).withColumn("rules_provenance", F.lit(feed.Outcome("", bundle=bundle).provenance))
