@@ -12,7 +12,7 @@ time and the packed answers of a share, however many documents, or equal ones, t
 Requests and answers are one row for each share (more where shares are large) and range, never more than one a
 key. Shares and ranges grow with the input, as far as the memory of executors goes.
 
-Keys have 54 bits here: of 10**12 different keys about one in 18,000 shares its count with another.
+Keys have 53 bits here: of 10**12 different keys about one in 9,000 shares its count with another.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 from .textkernel import slabs
 
-BITS = 54
-SEGMENT_BYTES, SEGMENT_DOCS = 4_000_000, 60_000
-SHARE_BYTES, RANGE_BYTES = 12_000_000, 12_000_000
-LEAST_PARTS = 64  #: shares of small inputs, at most
+BITS = 53
+SEGMENT_BYTES, SEGMENT_DOCS = 5_000_000, 60_000
+SHARE_BYTES, RANGE_BYTES = 18_000_000, 12_000_000
+LEAST_PARTS = 48  #: shares of small inputs, at most
 CHUNK_KEYS = 4_000_000
 REQUEST = "p int, s int, segments binary, sizes binary, heads binary, plain int, steps array<binary>, counts binary"
 ANSWER = "s int, held boolean, kind int, p int, n long, total long, apart long, segments binary, sizes binary, counts binary, minus binary"
