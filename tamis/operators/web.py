@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as html_lib
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import small
 
 
 def _find(html: Column, pattern: str, group: int = 1) -> Column:
@@ -53,8 +51,7 @@ def structured(df: DataFrame, html: str = "html") -> DataFrame:
     def pairs(prefix: str) -> Column:
         names = F.regexp_extract_all(h, F.lit(rf"(?is)<meta[^>]+(?:property|name)=[\"']{prefix}:([^\"']+)[\"'][^>]*?content=[\"'][^\"']*[\"']"), F.lit(1))
         values = F.regexp_extract_all(h, F.lit(rf"(?is)<meta[^>]+(?:property|name)=[\"']{prefix}:[^\"']+[\"'][^>]*?content=[\"']([^\"']*)[\"']"), F.lit(1))
-        each = F.arrays_zip(names.alias("k"), values.alias("v"))
-        return F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.element_at(values, F.array_position(names, n).cast("int")))) if each is not None else None
+        return F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.element_at(values, F.array_position(names, n).cast("int"))))
 
     return df.withColumns({"unparsable": F.size("_blocks") - F.size("jsonld"), "schema_types": F.array_distinct(types), "opengraph": pairs("og"), "twitter": pairs("twitter")}).drop("_blocks")
 
@@ -274,14 +271,3 @@ def security_headers(responses: DataFrame) -> DataFrame:
     r = responses.withColumn("_h", low)
     has = F.filter(names, lambda n: F.array_contains(F.map_keys("_h"), n))
     return r.select("id", has.alias("present"), F.array_except(names, has).alias("missing"))
-
-
-def unescape(text: str) -> str:
-    return html_lib.unescape(text)
-
-
-def with_facts(df: DataFrame, facts: DataFrame | None, key: str, *names: str) -> DataFrame:
-    """df with columns of a table of facts; null where it is missing, so that nothing passes unchecked."""
-    if facts is None:
-        return df.withColumns({n: F.lit(None).cast("string") for n in names})
-    return df.join(small(facts.select(key, *names)), key, "left")

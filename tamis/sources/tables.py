@@ -16,6 +16,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() <= cores:
+    if name in TEXTS and df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) == 1:  # names are listed for small tables only
         return df.repartition(cores)
     return df
