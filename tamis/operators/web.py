@@ -149,10 +149,15 @@ class _Tree(HTMLParser):
             self.nodes[k]["text"].append(data)
 
 
-def _matches(node: dict, simple: str) -> bool:
+def _step(simple: str) -> re.Match:
     m = re.fullmatch(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+|\[[^\]]+\])*)", simple)
     if not m or not simple:
         raise ValueError(simple)
+    return m
+
+
+def _matches(node: dict, simple: str) -> bool:
+    m = _step(simple)
     if m[1] and m[1] != "*" and node["tag"] != m[1].lower():
         return False
     for part in re.findall(r"[.#][\w-]+|\[[^\]]+\]", m[2]):
@@ -169,6 +174,8 @@ def select(page: str, selector: str, base: str = "") -> list[str]:
     """Texts, or an attribute with @name, of all elements of `a b.c > d`-like selectors (descendants only)."""
     css, _, attribute = selector.removesuffix("[]").partition("@")
     steps = css.split()
+    for step in steps:  # a bad one is bad on every page, whatever elements there are
+        _step(step)
     tree = _Tree()
     tree.feed(page)
     out = []

@@ -58,3 +58,29 @@ def test_host_argument_of_every_url(spark):
     want = db.sql(urls.SQL["host_argument"].replace(" WHERE id % 2 = 0", "")).fetchall()
     got = [(r.id, r.host) for r in urls.host_argument(spark, SF).collect()]
     assert sorted(got) == sorted(want) and len(got) == db.sql("SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM pages)").fetchall()[0][0]
+
+
+def beside(spark, plan, name: str, folder, **tables: str) -> list[tuple]:
+    """Rows of a query on tables made by SQL, equal to those of its SQL."""
+    db = duckdb.connect()
+    for n, sql in tables.items():
+        db.sql(f"COPY ({sql}) TO '{folder}/{n}.parquet'")
+        db.sql(f"CREATE VIEW {n} AS SELECT * FROM '{folder}/{n}.parquet'")
+    want = db.sql(plan.SQL[name])
+    got = plan.QUERIES[name](spark, str(folder)).select(*want.columns).collect()
+    text = lambda rows: sorted([tuple(r) for r in rows], key=str)
+    assert text(got) == text(want.fetchall())
+    return text(got)
+
+
+def test_css_extract_of_cut_references(spark, tmp_path):
+    headings = ["a &amp;&amp; b&amp", "&lt;b&gt; &quot;c&quot;", "&am", "&copy; &#39; &amp;lt; &AMP; &ampx", "x & y && z", "Zeit"]
+    made = ", ".join(f"({i}, '{h}')" for i, h in enumerate(headings))
+    pages = f"SELECT i::BIGINT AS page_id, 'http://a.org/' AS url, '<html><head></head><body><nav><ul><li><a href=\"/x?a=1&b=2\">x</a></li></ul></nav><article><h1>' || h || '</h1><p><b>t</b></p></article></body></html>' AS html FROM (VALUES {made}) AS t(i, h)"
+    got = [r[1] for r in beside(spark, web, "css_extract", tmp_path, pages=pages)]
+    assert got == ["a && b&amp", '<b> "c"', "&am", "&copy; &#39; &lt; &AMP; &ampx", "x & y && z", "Zeit"]
+
+
+def test_css_extract_of_pages_without_the_bad_selector_s_elements(spark, tmp_path):
+    pages = "SELECT 1::BIGINT AS page_id, 'http://a.org/' AS url, '<nav><ul><li><a href=\"/x\">x</a></li></ul></nav><article><h1>T</h1></article>' AS html"
+    assert beside(spark, web, "css_extract", tmp_path, pages=pages) == [(1, "T", 1, True)]
